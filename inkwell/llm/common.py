@@ -91,3 +91,20 @@ def sigmoid(x):
     import numpy as np
 
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
+
+
+def filter_rows(df: DataFrame, columns: dict[str, str | Column], keep: Callable[[dict[str, list]], list[bool]]) -> DataFrame:
+    """The rows of df, with all their columns, for which keep says so; one pass, no shuffle."""
+    bounded_batches(df.sparkSession)
+    names = [f"_k{i}" for i in range(len(columns))]
+    ordered = [F.col(f"`{c}`") for c in df.columns]
+    extended = df.select(*ordered, *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in zip(names, columns.values(), strict=True)])
+    width, keys = len(ordered), list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                mask = keep({k: b.column(width + i).to_pylist() for i, k in enumerate(keys)})
+                yield b.select(list(range(width))).filter(pa.array(mask, pa.bool_()))
+
+    return extended.mapInArrow(run, df.schema)

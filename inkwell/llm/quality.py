@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, held_out, learning_labels, map_rows, sigmoid
+from inkwell.llm.common import cut, filter_rows, held_out, learning_labels, map_rows, sigmoid
 
 #: Most trusted positives, unlabelled rows and calibration rows that are fitted, the first by hash of the id.
 POSITIVES, UNLABELLED, CALIBRATION = 6000, 12000, 6000
@@ -187,3 +187,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, whose score reaches the threshold."""
+
+    def keep(b: dict[str, list]) -> list[bool]:
+        x = np.array([features(t) for t in b["text"]]).reshape(len(b["text"]), FEATURES)
+        return (model.score(x) >= threshold).tolist()
+
+    return filter_rows(docs, {"text": F.col(f"`{text_column}`").cast("string")}, keep)
