@@ -11,8 +11,8 @@
    They hand on spanning edges of the true links.
 5. The components of the true links give component_id.
 
-At similarity 0.85 a pair misses all bands with probability (1 - 0.85^ROWS)^BANDS = 7e-8 and the sketch filter
-with less than 1e-8. No cap on buckets, clusters or partners.
+At similarity 0.85 a pair misses all bands with probability (1 - 0.85^ROWS)^BANDS = 7e-10, at 0.8 with 6e-7, and
+the sketch filter with less than 1e-8. No cap on buckets, clusters or partners.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from inkwell.llm.common import cut, map_rows
 from inkwell.llm.components import connected_components
 
 #: Words in a shingle; bands and rows of the MinHash table; bits of the odd sketch; most ones in an XOR that pass.
-SHINGLE, BANDS, ROWS, BITS, MAX_XOR = 5, 28, 5, 512, 96
+SHINGLE, BANDS, ROWS, BITS, MAX_XOR = 5, 36, 5, 512, 112
 #: Classes in one block of a bucket; classes and shingles in one block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 4096, 1024, 500_000
 #: Words whose hashes a worker remembers before it starts afresh.
@@ -233,11 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     can be reached over links, the own one included; kept says whether the row is that one. Rows without words
     link with nothing and are kept. Repeated rows share all values. A row with a null id takes its component's
     least id and is not kept; if no row of the component has an id, component_id is null and the row is kept.
-    An empty table gives an empty one; other columns are ignored. percent must be 70 or more: bands and sketch
+    An empty table gives an empty one; other columns are ignored. percent must be 80 or more: bands and sketch
     are set for high similarities.
     """
-    if percent < 70:
-        raise ValueError("the bands and the sketch filter are set for percent >= 70")
+    if percent < 80:
+        raise ValueError("the bands and the sketch filter are set for percent >= 80")
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
