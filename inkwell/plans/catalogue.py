@@ -1,6 +1,666 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine and their SQL twins.
+
+The driver's tables stand in for the engine's: `documents` rows are chunks (one each), `embeddings` are vectors with
+vec_id = doc_id, `benchmark` items are query texts, nation and region form a tree.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from inkwell.functions import domain as D
+from inkwell.functions import geometry as G
+from inkwell.functions import text as T
+from inkwell.functions import vectors as V
+from inkwell.operators import bm25, cache, chunking, diversity, filters, fusion, layout, profile, store, tree, vectors
+from inkwell.plans import search
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+
+_STOP = "[" + ",".join(T.quoted(w) for w in D.STOPWORDS) + "]"
+
+
+def _words(text: str) -> str:
+    return rf"list_filter(string_split_regex(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def _any(text: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"instr({text}, {T.quoted(n)}) > 0" for n in needles) + ")"
+
+
+_BM25_SQL = f"""
+d AS (SELECT doc_id AS id, {_words('text')} AS ws FROM documents),
+w AS (SELECT id, unnest(ws) AS w FROM d),
+t AS (SELECT id, {T.stem_sql('w')} AS term FROM w),
+p AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT id, len(ws) AS dl FROM d),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+r AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term, n),
+i AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r),
+qs AS (SELECT item_id AS q, {_words('text')} AS ws FROM benchmark),
+qu AS (SELECT q, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM qs),
+qt AS (SELECT q, pos, {T.stem_sql('w')} AS term FROM qu),
+h AS (SELECT q, p.id, pos, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS part
+      FROM qt JOIN i USING (term) JOIN p USING (term) JOIN l USING (id), s),
+b AS (SELECT q, id, sum(part) AS score, string_agg(term, ' ' ORDER BY pos) AS keywords FROM h GROUP BY q, id HAVING sum(part) > 0),
+bk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM b)
+"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+def _probes(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """Query vectors: every n-th row, as the search's query set."""
+    return _vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+
+
+# --- ids, statistics, listings -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(concat(doc_id, ':', 0))[:16] AS chunk_id, sha256(text)[:32] AS text_id FROM documents")
+def chunk_ids_sha(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return d.select("doc_id", T.short_id(F.col("doc_id"), F.lit(0)).alias("chunk_id"), F.substring(F.sha2("text", 256), 1, 32).alias("text_id"))
+
+
+@query("SELECT lang, source, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+def doc_stats_by_type(spark, sf_dir):
+    return _documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT label, count(*) AS n_vectors, count(DISTINCT vec_id) AS n_chunks FROM embeddings GROUP BY label")
+def vector_counts(spark, sf_dir):
+    return _vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_vectors"), F.countDistinct("vec_id").alias("n_chunks"))
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 50")
+def list_documents_page(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(100)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview, left(text, 500) AS chunk_text FROM documents")
+def chunk_previews(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.preview(F.col("text")).alias("preview"), F.substring("text", 1, 500).alias("chunk_text"))
+
+
+@query("SELECT DISTINCT source AS document_id FROM documents")
+def distinct_documents(spark, sf_dir):
+    return _documents(spark, sf_dir).select(F.col("source").alias("document_id")).distinct()
+
+
+@query("SELECT doc_id, text IS NOT NULL AND length(text) > 0 AS has_markdown, coalesce(quality, -1) AS quality, l.doc_id IS NOT NULL AS has_layout FROM documents d LEFT JOIN labels l USING (doc_id)")
+def processing_status(spark, sf_dir):
+    l = table(spark, sf_dir, "labels").withColumn("has_layout", F.lit(True))
+    j = _documents(spark, sf_dir).select("doc_id", "text").join(l, "doc_id", "left")
+    return j.select("doc_id", (F.col("text").isNotNull() & (F.length("text") > 0)).alias("has_markdown"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("has_layout", F.lit(False)).alias("has_layout"))
+
+
+# --- tokens and BM25 -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH w AS (SELECT unnest({_words('text')}) AS w FROM documents) SELECT {T.stem_sql('w')} AS term, count(*) AS n FROM w GROUP BY 1")
+def tokenize_stem_counts(spark, sf_dir):
+    w = _documents(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("w"))
+    return w.groupBy(T.stem(F.col("w")).alias("term")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents) SELECT doc_id, len(ws) AS dl, len(list_distinct(ws)) AS n_distinct FROM d")
+def document_lengths(spark, sf_dir):
+    w = _documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("ws"))
+    return w.select("doc_id", F.size("ws").cast("long").alias("dl"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {_BM25_SQL} SELECT q, id, rank, round(score, 6) AS score FROM bk WHERE rank <= 30")
+def bm25_topk(spark, sf_dir):
+    ix = bm25.build(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    return bm25.score(ix, _asked(spark, sf_dir), 30).select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25_SQL} SELECT q, id, rank, keywords FROM bk WHERE rank <= 10")
+def bm25_matched_keywords(spark, sf_dir):
+    ix = bm25.build(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    hits = bm25.score(ix, _asked(spark, sf_dir), 10, keywords=True)
+    return hits.select("q", "id", F.col("rank").cast("long").alias("rank"), F.array_join("keywords", " ").alias("keywords"))
+
+
+@query()
+def tokens_expanded(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.analyse(F.col("text")), " ").alias("terms"))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+
+def _vector_sql(every: int, k: int, where: str = "true") -> str:
+    return f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_dot('a.embedding', 'b.embedding')}, 12) AS score
+    FROM embeddings a, embeddings b WHERE a.vec_id % {every} = 0 AND {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s)
+    SELECT q, id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"""
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return df.select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_vector_sql(1000000007, 30))
+def vector_topk(spark, sf_dir):
+    return _out(vectors.top_k(_vectors(spark, sf_dir), _probes(spark, sf_dir, 1000000007), 30, "vec_id", "embedding"))
+
+
+@query(_vector_sql(50, 10))
+def vector_topk_batch(spark, sf_dir):
+    return _out(vectors.top_k(_vectors(spark, sf_dir), _probes(spark, sf_dir, 50), 10, "vec_id", "embedding"))
+
+
+@query(_vector_sql(50, 10, "b.label IN (1, 3)"))
+def vector_topk_filtered(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    allowed = v.where(F.col("label").isin(1, 3)).select(F.col("vec_id").alias("id"))
+    return _out(vectors.top_k(v, _probes(spark, sf_dir, 50), 10, "vec_id", "embedding", allowed))
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id // 4 AS chunk, b.vec_id AS v, round({_dot('a.embedding', 'b.embedding')}, 12) AS score
+    FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS n FROM s),
+    c AS (SELECT q, chunk AS id, max(score) AS score FROM r WHERE n <= 40 GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM c)
+    SELECT q, id, rank, round(score, 6) AS score FROM o WHERE rank <= 20""")
+def multi_vector_dedupe(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    found = vectors.top_k(v, _probes(spark, sf_dir, 50), 40, "vec_id", "embedding")
+    return _out(vectors.best_per_chunk(found.select("q", F.floor(F.col("id") / 4).alias("chunk_id"), "score"), 20))
+
+
+@query("""WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS x, lead(embedding) OVER (ORDER BY vec_id)::DOUBLE[] AS y FROM embeddings),
+    b AS (SELECT vec_id, list_transform(list_zip(x, y), lambda p: 0.6 * p[1] + 0.4 * p[2]) AS z FROM a WHERE y IS NOT NULL)
+    SELECT vec_id, round(z[1] / sqrt(list_inner_product(z, z)), 6) AS first, round(sqrt(list_inner_product(z, z)), 6) AS length FROM b""")
+def hyde_blend(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    z = F.zip_with("embedding", "other", lambda a, b: 0.6 * a.cast("double") + 0.4 * b.cast("double"))
+    mixed = pairs.select("vec_id", V.blend(F.col("embedding"), F.col("other"), F.lit(0.4)).alias("m"), V.norm(z).alias("n"))
+    return mixed.select("vec_id", F.round(F.col("m")[0], 6).alias("first"), F.round("n", 6).alias("length"))
+
+
+@query(f"""WITH a AS (SELECT item_id, lower(text) AS q FROM benchmark), n AS (SELECT item_id, q, len(string_split_regex(trim(q), '\\s+')) AS n FROM a)
+    SELECT item_id, CASE WHEN n <= 3 THEN 0.3 WHEN trim(q) LIKE '%?' AND n <= 8 THEN 0.45 WHEN n <= 10 THEN 0.48 ELSE 0.6 END AS alpha FROM n""")
+def adaptive_alpha(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.adaptive_alpha(F.lower("text")), 6).alias("alpha"))
+
+
+# --- fusion --------------------------------------------------------------------------------------------------------
+
+_LISTS_SQL = f"""
+v AS (SELECT b.item_id AS q, e.vec_id AS id, round({_dot('p.embedding', 'e.embedding')}, 12) AS score
+      FROM benchmark b JOIN embeddings p ON p.vec_id = b.item_id, embeddings e),
+vk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM v),
+lists AS (SELECT q, 'main_vector' AS source, id, rank FROM vk WHERE rank <= 30 UNION ALL SELECT q, 'bm25', id, rank FROM bk WHERE rank <= 30),
+f AS (SELECT q, id, sum(CASE source WHEN 'bm25' THEN 0.25 ELSE 0.40 END / (30 + rank)) AS score,
+      min(CASE source WHEN 'bm25' THEN 1000000 ELSE 0 END + rank) AS first, string_agg(source || '=' || rank, ',' ORDER BY source) AS details,
+      string_agg(source, ',' ORDER BY source) AS sources FROM lists GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first, id) AS rank FROM f)
+"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main-vector and BM25 lists of the benchmark queries; a query's vector is that of its own number."""
+    v = _vectors(spark, sf_dir)
+    asked = _asked(spark, sf_dir)
+    probes = asked.join(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), "q")
+    ix = bm25.build(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    return fusion.ranked({"main_vector": vectors.top_k(v, probes, 30, "vec_id", "embedding"), "bm25": bm25.score(ix, asked, 30)})
+
+
+@query(f"WITH {_BM25_SQL}, {_LISTS_SQL} SELECT q, id, rank, round(score, 9) AS score, details FROM fr WHERE rank <= 20")
+def rrf_fusion(spark, sf_dir):
+    f = fusion.rrf(_lists(spark, sf_dir)).where("rank <= 20")
+    details = F.array_join(F.transform("details", lambda x: F.concat_ws("=", x["source"], x["rank"].cast("string"))), ",")
+    return f.select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), details.alias("details"))
+
+
+@query(f"WITH {_BM25_SQL}, {_LISTS_SQL} SELECT q, id, sources FROM fr WHERE rank <= 20")
+def source_attribution(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    return fusion.attribution(fusion.rrf(lists).where("rank <= 20"), lists)
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL},
+    m AS (SELECT fr.*, CASE WHEN fr.rank <= 50 AND quality = 1 THEN fr.score * 1.3 ELSE fr.score END AS boosted FROM fr LEFT JOIN labels ON doc_id = id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(boosted, 12) DESC, rank) AS n FROM m)
+    SELECT q, id, n AS rank, round(boosted, 9) AS score FROM o WHERE n <= 10""")
+def category_boost(spark, sf_dir):
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("category"))
+    f = fusion.rrf(_lists(spark, sf_dir)).join(l, "id", "left")
+    b = fusion.category_boost(f, F.col("category"), F.array(F.lit(1))).where("rank <= 10")
+    return b.select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, sr AS (SELECT q, source AS document_id, id, rank FROM (SELECT q, id, rank FROM fr WHERE rank <= 10) JOIN documents ON doc_id = id)
+    SELECT q, document_id, count(*) AS chunks_used, string_agg(id::VARCHAR, ',' ORDER BY rank) AS chunk_ids, min(rank) AS first_rank FROM sr GROUP BY ALL""")
+def sources_rollup(spark, sf_dir):
+    f = fusion.rrf(_lists(spark, sf_dir)).where("rank <= 10").select("q", "id", "rank")
+    r = f.join(_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id")), "id")
+    return fusion.sources_rollup(r).withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, rt AS (SELECT fr.q, fr.id, fr.rank, fr.score, coalesce(d.n_chars % 97, 0)::DOUBLE AS pair_score FROM fr LEFT JOIN documents d ON doc_id = id WHERE fr.rank <= 20),
+    rs AS (SELECT *, min(pair_score) OVER (PARTITION BY q) AS lo, max(pair_score) OVER (PARTITION BY q) AS hi FROM rt),
+    z AS (SELECT q, id, rank, 0.7 * CASE WHEN hi > lo THEN (pair_score - lo) / (hi - lo) ELSE 0.5 END + 0.3 * score AS blended FROM rs)
+    SELECT q, id, round(blended, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY round(blended, 12) DESC, rank) AS rank FROM z""")
+def rerank_minmax_blend(spark, sf_dir):
+    f = fusion.rrf(_lists(spark, sf_dir)).where("rank <= 20")
+    p = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("n_chars") % 97).cast("double").alias("p"))
+    r = fusion.rerank(f.join(p, "id", "left").withColumn("pair_score", F.coalesce("p", F.lit(0.0))))
+    return r.select("q", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, hw AS (SELECT fr.q, fr.id, fr.rank, fr.score FROM fr WHERE fr.rank <= 10)
+    SELECT hw.q, hw.id, d.source AS document_id, hw.rank, round(hw.score, 9) AS score, left(d.text, 500) AS chunk_text FROM hw JOIN documents d ON d.doc_id = hw.id""")
+def hybrid_search(spark, sf_dir):
+    f = fusion.rrf(_lists(spark, sf_dir)).where("rank <= 10").select("q", "id", "rank", "score")
+    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.substring("text", 1, 500).alias("chunk_text"))
+    return f.join(d, "id").select("q", "id", "document_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "chunk_text")
+
+
+@query()
+def hybrid_search_full(spark, sf_dir):
+    """All four lists: main, summary and question vectors (by vec_id mod 3) and BM25, typed weights, boost and highlights."""
+    d = _documents(spark, sf_dir)
+    v = _vectors(spark, sf_dir)
+    kind = F.element_at(F.array(F.lit("main"), F.lit("summary"), F.lit("question")), (F.col("label") % 3 + 1).cast("int"))
+    chunks = d.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), "text", F.lit("procedure").alias("category"))
+    corpus = search.Corpus(chunks, v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("chunk_id"), kind.alias("vector_type"), F.col("embedding").alias("vector")), bm25.build(d, "doc_id", F.col("text")))
+    asked = _asked(spark, sf_dir).join(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), "q")
+    r = search.search(corpus, asked, 10, by_type=True)
+    return r.select("q", "id", "document_id", "rank", F.round("score", 9).alias("score"), F.array_join("highlights", " | ").alias("highlights"))
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = _probes(spark, sf_dir, 50)
+    found = vectors.top_k(v, asked, 40).join(v, "id").join(asked.withColumnRenamed("vector", "query_vector"), "q")
+    return diversity.mmr(found, 10)
+
+
+# --- query understanding -------------------------------------------------------------------------------------------
+
+
+@query("SELECT item_id, " + "coalesce(" + ", ".join(f"CASE WHEN {_any('lower(text)', ks)} THEN '{t}' END" for t, ks in D.DOC_TYPES.items()) + ", 'none') AS doc_type, "
+       + "coalesce(" + ", ".join(f"CASE WHEN {_any('lower(text)', ks)} THEN '{t}' END" for t, ks in D.QUERY_TYPES) + ", 'factual') AS query_type, "
+       + f"({_any('lower(text)', D.SYNTHESIS)} OR lower(text) LIKE '%?' OR len(string_split_regex(trim(lower(text)), '\\s+')) > 10) AS needs_synthesis, "
+       + "concat_ws(',', " + ", ".join(f"CASE WHEN {_any('lower(text)', ks)} THEN '{c}' END" for c, ks in D.CATEGORIES.items()) + ") AS categories FROM benchmark")
+def query_intent(spark, sf_dir):
+    q = F.lower("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(T.doc_type(q), F.lit("none")).alias("doc_type"), T.query_type(q).alias("query_type"), T.needs_synthesis(q).alias("needs_synthesis"), F.array_join(T.categories(q), ",").alias("categories"))
+
+
+@query("""WITH q AS (SELECT doc_id, text, unnest(['the', 'and on']) AS query FROM documents),
+    t AS (SELECT doc_id, text, query, unnest(string_split(query, ' ')) AS term, generate_subscripts(string_split(query, ' '), 1) AS n FROM q),
+    a AS (SELECT *, instr(lower(text), term) - 1 AS place FROM t WHERE instr(lower(text), term) > 0),
+    s AS (SELECT doc_id, query, n, greatest(0, place - 50) AS s, least(length(text), place + length(term) + 50) AS e, text FROM a)
+    SELECT doc_id, query, string_agg((CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(text, s + 1, e - s) || (CASE WHEN e < length(text) THEN '...' ELSE '' END), ' | ' ORDER BY n) AS highlights FROM s GROUP BY ALL""")
+def highlights(spark, sf_dir):
+    q = _documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array(F.lit("the"), F.lit("and on"))).alias("query"))
+    return q.select("doc_id", "query", F.array_join(T.highlights(F.col("text"), F.col("query")), " | ").alias("highlights")).where("highlights <> ''")
+
+
+_MODELS = ["gpt-5-mini-2025-08-07", "gpt-5.1-x", "o3-2025", "gpt-4o-mini", "other-model", "gemini-2.5-flash-001"]
+_COSTS = "CASE model " + " ".join(f"WHEN '{m}' THEN tin * {a} / 1e6 + tout * {b} / 1e6" for m, (a, b) in zip(_MODELS, [(0.25, 2.0), (1.25, 10.0), (2.0, 8.0), (0.15, 0.6), (0, 0), (0.15, 0.6)], strict=True)) + " END"
+
+
+@query(f"WITH e AS (SELECT event_id, {_MODELS}[(event_id % {len(_MODELS)})::INT + 1] AS model, value * 1000 AS tin, user_id AS tout FROM events) SELECT event_id, round(({_COSTS})::DOUBLE, 9) AS usd FROM e")
+def usage_cost(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    model = F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("event_id") % len(_MODELS) + 1).cast("int"))
+    return e.select("event_id", F.round(filters.price(model, D.PRICES, F.col("value") * 1000, F.col("user_id")), 9).alias("usd"))
+
+
+# --- filters and joins ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%eco%'")
+def type_filter_ilike(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.where(filters.like(F.col("p_type"), "eco")).select("p_partkey", "p_type")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND props ILIKE '%1%'")
+def entity_filter_json(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where(filters.has_json_entity(F.col("props"), "k", "1")).select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority ILIKE '%urg%'")
+def entity_filter_distinct(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("entity_key"), F.col("o_orderpriority").alias("entity_value"))
+    return filters.by_entity(o, "F", "urg")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AND c_nationkey < 10 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def candidate_intersection(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("id"))
+    as_id = lambda df: df.select(F.col("o_custkey").alias("id"))
+    return filters.candidates(c, [as_id(o.where("o_totalprice > 100000")), as_id(o.where("o_orderstatus = 'O'"))], on_empty="empty").distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7")
+def point_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_orderkey = 7").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def chunk_metadata_join(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("""SELECT n_nationkey AS id, n_name, coalesce(x.n, 0) AS n_questions, coalesce(x.questions, '') AS questions FROM nation LEFT JOIN
+    (SELECT s_nationkey, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS questions FROM supplier GROUP BY 1) x ON s_nationkey = n_nationkey""")
+def chunk_with_questions(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("qs"))
+    j = table(spark, sf_dir, "nation").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return j.select(F.col("n_nationkey").alias("id"), "n_name", F.coalesce("n", F.lit(0)).alias("n_questions"), F.coalesce("qs", F.lit("")).alias("questions"))
+
+
+# --- trees ---------------------------------------------------------------------------------------------------------
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, their nations and those nations' customers as one tree."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    a = r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("long").alias("position"), F.col("r_name").alias("title"))
+    b = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("long").alias("position"), F.col("n_name").alias("title"))
+    d = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.col("c_custkey").alias("position"), F.concat(F.lit("customer "), "c_custkey").alias("title"))
+    return a.unionByName(b).unionByName(d)
+
+
+_NODES_SQL = """t AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent_id, r_name AS title FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'customer ' || c_custkey FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL}, w AS (SELECT id, parent_id, 0 AS depth, id AS path FROM t WHERE parent_id IS NULL
+    UNION ALL SELECT c.id, c.parent_id, w.depth + 1, w.path || '/' || c.id FROM w JOIN t c ON c.parent_id = w.id)
+    SELECT id, coalesce(parent_id, '') AS parent_id, depth, path FROM w""")
+def chunk_tree_recursive(spark, sf_dir):
+    return tree.walk(_nodes(spark, sf_dir)).select("id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "depth", "path")
+
+
+@query(f"""WITH RECURSIVE {_NODES_SQL}, w AS (SELECT id, parent_id FROM t WHERE title ILIKE '%11%'
+    UNION ALL SELECT p.id, p.parent_id FROM w JOIN t p ON p.id = w.parent_id) SELECT DISTINCT id FROM w""")
+def ancestor_tree_filter(spark, sf_dir):
+    return tree.with_ancestors(_nodes(spark, sf_dir), filters.like(F.col("title"), "11"))
+
+
+@query("SELECT n_nationkey AS id, n_regionkey AS parent_id FROM nation WHERE n_regionkey = 2")
+def child_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("parent_id"))
+
+
+# --- segmentation --------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)
+    SELECT doc_id, len(ss) AS n_sentences, max(len(x)) AS longest FROM (SELECT doc_id, ss, unnest(ss) AS x FROM s) GROUP BY doc_id, len(ss)""")
+def sentence_split(spark, sf_dir):
+    s = _documents(spark, sf_dir).select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("ss"))
+    return s.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.array_max(F.transform("ss", F.length)).cast("long").alias("longest"))
+
+
+@query()
+def paragraph_chunks(spark, sf_dir):
+    return chunking.linked(chunking.paragraph_chunks(_documents(spark, sf_dir)))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    """Conversations as markdown: a heading for each turn, the text under it."""
+    c = table(spark, sf_dir, "conversations")
+    part = F.concat(F.when(F.col("turn") == 0, "# Conversation\n").otherwise(""), F.lit("## "), F.coalesce("role", F.lit("none")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("markdown"))
+    return chunking.hierarchical_chunks(docs)
+
+
+@query()
+def semantic_sentences(spark, sf_dir):
+    rows = chunking.exploded(_documents(spark, sf_dir).select("doc_id", "text"), "text", lambda t: [{"s": s, "a": a, "z": z} for s, a, z in chunking.sentences(t)], "struct<s:string,a:int,z:int>")
+    return rows.select("doc_id", F.col("piece_index").alias("n"), F.col("piece.a").alias("start"), F.col("piece.z").alias("end"), F.sha2("piece.s", 256).alias("sentence_id"))
+
+
+@query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, lag(role) OVER w AS prev_role FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+def chunk_links_lag_lead(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), F.lag("role").over(w).alias("prev_role"))
+
+
+@query(f"""WITH s AS (SELECT label, vec_id, {_dot('lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)', 'embedding')} AS sim FROM embeddings)
+    SELECT label, vec_id, round(sim, 6) AS semantic_similarity_prev, coalesce(sim < 0.72, false) AS is_semantic_boundary FROM s""")
+def semantic_boundaries(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select(F.col("label").alias("document_id"), F.col("vec_id").alias("chunk_index"), F.col("embedding").alias("vector"))
+    b = chunking.boundaries(v)
+    return b.select(F.col("document_id").alias("label"), F.col("chunk_index").alias("vec_id"), F.round("semantic_similarity_prev", 6).alias("semantic_similarity_prev"), "is_semantic_boundary")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT s_nationkey, ((n - 1) // 50)::INT AS batch, 'Columns: s_suppkey, s_nationkey' || chr(10) ||
+    string_agg('Row ' || n || ': s_suppkey=' || s_suppkey || ', s_nationkey=' || s_nationkey, chr(10) ORDER BY n) AS text FROM n GROUP BY s_nationkey, (n - 1) // 50""")
+def row_batch_text(spark, sf_dir):
+    b = chunking.row_batches(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_nationkey"], ["s_suppkey"], "s_nationkey")
+    return b.select("s_nationkey", "batch", "text")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, text, lag(left(text, 40)) OVER w AS before, lead(left(text, 40)) OVER w AS after FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+    SELECT conv_id, turn, concat_ws(chr(10), 'Document: conv-' || conv_id, 'Type: ' || role, 'Section: turn ' || turn, 'Key info: id=' || conv_id,
+    CASE WHEN length(before) > 0 THEN 'Previous context: ' || before END, CASE WHEN length(after) > 0 THEN 'Following context: ' || after END) AS context FROM w""")
+def context_prefix(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag(F.substring("text", 1, 40)).over(w)).withColumn("after", F.lead(F.substring("text", 1, 40)).over(w))
+    made = T.context_prefix(F.concat(F.lit("conv-"), "conv_id"), F.col("role"), F.concat(F.lit("turn "), "turn"), F.create_map(F.lit("id"), F.col("conv_id").cast("string")), F.col("before"), F.col("after"), F.lit(None).cast("string"))
+    return c.select("conv_id", "turn", made.alias("context"))
+
+
+# --- profiles ------------------------------------------------------------------------------------------------------
+
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_ALL = [*_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 4) AS mean_value, round(sum({c})::DOUBLE, 2) AS sum_value FROM lineitem" for c in _NUMBERS))
+def numeric_profile(spark, sf_dir):
+    p = profile.numeric(table(spark, sf_dir, "lineitem"))
+    return p.select("column_name", "min_value", "max_value", F.round("mean_value", 4).alias("mean_value"), F.round("sum_value", 2).alias("sum_value"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_null, count(*) AS n_rows FROM lineitem" for c in _ALL))
+def column_cardinality(spark, sf_dir):
+    return profile.cardinality(table(spark, sf_dir, "lineitem"), _ALL).drop("type_label")
+
+
+_SAMPLED = ["p_brand", "p_type", "p_size"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, string_agg(v, ',' ORDER BY k, v) AS sample_values FROM (SELECT {c}::VARCHAR AS v, min(p_partkey) AS k FROM part WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k, v LIMIT 5)" for c in _SAMPLED))
+def sample_values(spark, sf_dir):
+    return profile.first_values(table(spark, sf_dir, "part"), ["p_partkey"], _SAMPLED)
+
+
+@query()
+def column_kinds(spark, sf_dir):
+    return profile.text_kinds(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderpriority", "o_orderdate", "o_orderstatus"])
+
+
+@query()
+def table_description(spark, sf_dir):
+    return profile.describe_text(table(spark, sf_dir, "part"), "part", ["p_partkey"])
+
+
+@query("SELECT quantile_cont(l_extendedprice, 0.5) AS median_price, 1.3 * quantile_cont(l_quantity, 0.5) AS width_threshold FROM lineitem")
+def median_threshold(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.median("l_extendedprice").alias("median_price"), (1.3 * F.median("l_quantity")).alias("width_threshold"))
+
+
+# --- layout --------------------------------------------------------------------------------------------------------
+
+_LABELS = ["text", "table", "figure", "title", "table_caption", "figure_caption", "plain text"]
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the boxes of a page, one page an order."""
+    l = table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 10 * 60
+    box = F.array(x, y, x + 40 + F.col("l_quantity") * 4, y + 20 + F.col("l_linenumber") * 12).cast("array<double>")
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS) + 1).cast("int"))
+    return l.select(F.lit("d").alias("document_id"), F.col("l_orderkey").cast("int").alias("page_number"), F.col("l_linenumber").cast("int").alias("pos"), box.alias("bbox"), label.alias("label"), (F.lit(0.2) + F.col("l_quantity") / 100).alias("confidence"))
+
+
+_BOX_SQL = f"""b AS (SELECT l_orderkey::INT AS page_number, l_linenumber::INT AS pos, (l_partkey % 400)::DOUBLE AS x1, (l_suppkey % 10 * 60)::DOUBLE AS y1,
+    l_partkey % 400 + 40 + l_quantity * 4 AS x2, l_suppkey % 10 * 60 + 20 + l_linenumber * 12.0::DOUBLE AS y2, {_LABELS}[(l_partkey % {len(_LABELS)})::INT + 1] AS label FROM lineitem),
+    p AS (SELECT a.page_number, a.pos AS a, c.pos AS c, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (c.x2 - c.x1) * (c.y2 - c.y1) AS sc,
+    greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i,
+    sqrt(greatest(0, c.x1 - a.x2, a.x1 - c.x2) ** 2 + greatest(0, c.y1 - a.y2, a.y1 - c.y2) ** 2) AS gap
+    FROM b a JOIN b c ON a.page_number = c.page_number AND a.pos < c.pos)"""
+
+
+@query(f"WITH {_BOX_SQL} SELECT page_number, a, c, round(CASE WHEN i > 0 THEN i / (sa + sc - i) ELSE 0 END, 6) AS iou, round(gap, 6) AS gap FROM p")
+def box_iou_pairs(spark, sf_dir):
+    b = _boxes(spark, sf_dir).select("page_number", "pos", "bbox")
+    p = b.select("page_number", F.col("pos").alias("a"), F.col("bbox").alias("x")).join(b.select("page_number", F.col("pos").alias("c"), F.col("bbox").alias("y")), "page_number").where("a < c")
+    return p.select("page_number", "a", "c", F.round(G.iou(F.col("x"), F.col("y")), 6).alias("iou"), F.round(G.gap(F.col("x"), F.col("y")), 6).alias("gap"))
+
+
+@query(f"WITH {_BOX_SQL} SELECT page_number, a, c, round(i / least(sa, sc), 6) AS containment FROM p WHERE least(sa, sc) > 0 AND i / least(sa, sc) >= 0.85")
+def containment_pairs(spark, sf_dir):
+    b = _boxes(spark, sf_dir).select("page_number", "pos", "bbox")
+    p = b.select("page_number", F.col("pos").alias("a"), F.col("bbox").alias("x")).join(b.select("page_number", F.col("pos").alias("c"), F.col("bbox").alias("y")), "page_number").where("a < c")
+    small = F.when(G.area(F.col("x")) < G.area(F.col("y")), G.containment(F.col("x"), F.col("y"))).otherwise(G.containment(F.col("y"), F.col("x")))
+    return p.withColumn("s", small).where("s >= 0.85").select("page_number", "a", "c", F.round("s", 6).alias("containment"))
+
+
+@query()
+def nms_filter(spark, sf_dir):
+    return layout.filter_detections(_boxes(spark, sf_dir))
+
+
+@query()
+def soft_nms(spark, sf_dir):
+    return layout.filter_detections(_boxes(spark, sf_dir), layout.BoxConfig.service())
+
+
+@query()
+def reading_order(spark, sf_dir):
+    return layout.reading_order(_boxes(spark, sf_dir).withColumn("page_width", F.lit(640)).withColumn("page_height", F.lit(720)))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS page_number, l_linenumber AS reading_order, CASE l_returnflag WHEN 'R' THEN 'title' WHEN 'A' THEN 'abandon' ELSE 'text' END AS label,
+    l_linestatus || ' ' || l_partkey AS text FROM lineitem)
+    SELECT page_number::INT AS page_number, string_agg(CASE label WHEN 'title' THEN '# ' || text ELSE text END, chr(10) || chr(10) ORDER BY reading_order, CASE label WHEN 'title' THEN '# ' || text ELSE text END) AS markdown FROM r WHERE label <> 'abandon' GROUP BY 1""")
+def page_markdown(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    label = F.when(F.col("l_returnflag") == "R", "title").when(F.col("l_returnflag") == "A", "abandon").otherwise("text")
+    r = l.select(F.lit("d").alias("document_id"), F.col("l_orderkey").cast("int").alias("page_number"), F.col("l_linenumber").alias("reading_order"), label.alias("label"), F.concat_ws(" ", "l_linestatus", F.col("l_partkey").cast("string")).alias("text"))
+    return chunking.page_markdown(r).select("page_number", "markdown")
+
+
+# --- store and cache -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey AS id, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT c_custkey, c_nationkey, c_acctbal + 1000 FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey + 1000000, NULL, c_acctbal FROM customer WHERE c_custkey % 7 = 0""")
+def upsert_antijoin(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal")
+    new = old.where("id % 3 = 0").select("id", (F.col("c_acctbal") + 1000).alias("c_acctbal")).unionByName(old.where("id % 7 = 0").select((F.col("id") + 1000000).alias("id"), "c_acctbal"))
+    return store.upsert(old, new, ["id"])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE c_acctbal END AS c_acctbal, c_nationkey FROM customer")
+def update_columns(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
+    return store.update(old, old.where("id % 4 = 0").select("id", F.lit(0.5).alias("c_acctbal")), ["id"])
+
+
+@query("""SELECT 'documents' AS tbl, count(*) AS n FROM customer WHERE c_nationkey <> 3
+    UNION ALL SELECT 'chunks', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) OR o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'vectors', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3)""")
+def cascade_delete(spark, sf_dir):
+    tables = {
+        "documents": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"),
+        "chunks": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id")),
+        "vectors": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber"),
+    }
+    left = store.delete(tables, "documents", tables["documents"].where("c_nationkey = 3"))
+    parts = [df.groupBy().agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "n") for t, df in left.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT doc_id AS id, sha256(text) AS file_hash FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def incremental_by_hash(spark, sf_dir):
+    """The known table lacks every fifth file and has another hash for every seventh: those are to be read again."""
+    found = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"))
+    known = found.where("id % 5 <> 0").withColumn("file_hash", F.when(F.col("id") % 7 == 0, F.lit("old")).otherwise(F.col("file_hash")))
+    return store.changed_files(found, known)
+
+
+@query("SELECT user_id AS key, max(ts) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, key LIMIT 25")
+def lru_eviction(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"))
+    return cache.evict(e, 25)
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS key, round({_dot('a.embedding', 'b.embedding')}, 12) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 2 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS n FROM s) SELECT q, key, round(score, 6) AS score FROM r WHERE n = 1 AND score >= 0.5 AND key % 3 <> 0""")
+def cache_argmax(spark, sf_dir):
+    """Even vectors are cached; those of a multiple of 3 are too old."""
+    age = F.when(F.col("vec_id") % 3 == 0, 0).otherwise(9000)
+    c = _vectors(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").alias("key"), "embedding", age.alias("created_at"))
+    return cache.lookup(c, _probes(spark, sf_dir, 50), F.lit(10000), 0.5).select("q", "key", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id, sha256(lower(trim(event_type)))[:16] AS key FROM events WHERE epoch(ts) >= (SELECT max(epoch(ts)) FROM events) - 86400")
+def cache_prune(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("created_at", F.col("ts").cast("timestamp").cast("double"))
+    now = e.agg(F.max("created_at").alias("now"))
+    rows = e.crossJoin(F.broadcast(now))  # one row
+    return cache.prune(rows, F.col("now"), 86400).select("event_id", cache.cache_key(F.col("event_type")).alias("key"))
