@@ -108,3 +108,8 @@ def filter_rows(df: DataFrame, columns: dict[str, str | Column], keep: Callable[
                 yield b.select(list(range(width))).filter(pa.array(mask, pa.bool_()))
 
     return extended.mapInArrow(run, df.schema)
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's columns as one column `row`, beside the given ones, whose names then can't clash with df's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, map_rows
+from inkwell.llm.common import cut, map_rows, packed
 
 #: Primes below 2^31 and bases of the four lanes.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.int64)
@@ -166,10 +166,10 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id",
     """The rows of docs, with their own columns, that exact_duplicates keeps; of repeated rows one."""
     sha = F.sha2(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), 256)
     kept = decisions.where("kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_own", sha)
-    found = marked.join(kept, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")))
+    rows = packed(docs, own_id=F.col(f"`{id_column}`").cast("long"), own_sha=sha)
+    found = rows.join(kept, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_sha") == F.col("_sha")))
     w = Window.partitionBy("_id", "_sha").orderBy(F.lit(1))
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ birth dates) come from looser patterns. Labelers of three sorts vote on every ca
 patterns and check digits, gazetteers, and context words, each for (+), against (-) or silent (0). The counts of vote
 patterns over all documents feed an expectation-maximisation that estimates each labeler's reliability for and
 against; its posteriors, with the counts of feature patterns, train a logistic span classifier. A candidate
-that is no base span becomes one of the method's spans if the classifier gives it a half or more and it overlaps
+that is no base span becomes one of the method's spans if the classifier gives it THRESHOLD or more and it overlaps
 no base span.
 
 One pass reads the texts; only counts of patterns (a bounded number of kinds, votes and features) come together.
@@ -29,7 +29,7 @@ MORE = ("email_words", "ssn", "iban", "phone_national", "mac", "name", "birth_da
 KINDS = BASE + MORE
 #: Characters around a candidate in which context labelers look.
 CONTEXT = 48
-LABELERS, THRESHOLD, ROUNDS = 5, 0.5, 50
+LABELERS, THRESHOLD, ROUNDS = 5, 0.6, 50
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
