@@ -37,7 +37,7 @@ def candidates(ids: DataFrame, filters: list[DataFrame], on_empty: str = "ignore
 
 def clean_entities(entities: Column, allowed: list[str]) -> Column:
     """A map of key -> values with known keys only, values trimmed, distinct and sorted, empty ones dropped."""
-    trimmed = F.transform_values(F.map_filter(entities, lambda k, _: k.isin(allowed)), lambda _, v: F.array_sort(F.array_distinct(F.filter(F.transform(v, F.trim), lambda x: x != ""))))
+    trimmed = F.transform_values(F.map_filter(entities, lambda k, _: k.isin(allowed)), lambda _, v: F.array_sort(F.array_distinct(F.filter(F.transform(v, lambda x: F.trim(x)), lambda x: x != ""))))
     return F.map_filter(trimmed, lambda _, v: F.size(v) > 0)
 
 
