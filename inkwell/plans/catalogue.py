@@ -18,6 +18,8 @@ from inkwell.functions import text as T
 from inkwell.functions import vectors as V
 from inkwell.operators import bm25, cache, chunking, diversity, filters, fusion, layout, profile, store, tree, vectors
 from inkwell.plans import search
+from inkwell.sources import files
+from inkwell.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -664,3 +666,86 @@ def cache_prune(spark, sf_dir):
     now = e.agg(F.max("created_at").alias("now"))
     rows = e.crossJoin(F.broadcast(now))  # one row
     return cache.prune(rows, F.col("now"), 86400).select("event_id", cache.cache_key(F.col("event_type")).alias("key"))
+
+
+# --- streams, files, small pieces ----------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    w = watch.windowed_counts(table(spark, sf_dir, "events"))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800 THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    s = watch.sessions(table(spark, sf_dir, "events"))
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '\.([^./\\]+)$', 1)) AS file_type, lower(regexp_extract(url, '\.([^./\\]+)$', 1)) IN ('csv', 'xlsx', 'xls') AS is_tabular, sha256(url)[:32] AS document_id FROM pages")
+def file_types(spark, sf_dir):
+    kind = files.file_type(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("file_type"), files.is_tabular(kind).alias("is_tabular"), F.substring(F.sha2("url", 256), 1, 32).alias("document_id"))
+
+
+@query("""SELECT p_partkey, 'Part ' || p_partkey || chr(10) || 'brand | type | size' || chr(10) || left(p_brand, 50) || ' | ' || left(p_type, 50) || ' | ' || p_size AS text FROM part""")
+def table_to_text(spark, sf_dir):
+    row = F.array("p_brand", "p_type", F.col("p_size").cast("string"))
+    made = chunking.table_text(F.concat(F.lit("Part "), "p_partkey"), F.array(*map(F.lit, ("brand", "type", "size"))), F.array(row))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("text"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, l_quantity - 5) AS x1, greatest(0, l_partkey % 400 - 5)::DOUBLE AS y1, least(640, l_quantity + 65) AS x2, least(380, l_partkey % 400 + 25)::DOUBLE AS y2 FROM lineitem""")
+def region_crops(spark, sf_dir):
+    q, y = F.col("l_quantity"), (F.col("l_partkey") % 400).cast("double")
+    b = G.padded(F.array(q, y, q + 60, y + 20), 5.0, F.lit(640.0), F.lit(380.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[b[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query("SELECT CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'R' THEN 'table' ELSE 'figure' END AS label, count(*) AS removed FROM lineitem WHERE l_quantity < 10 GROUP BY 1")
+def removed_by_label(spark, sf_dir):
+    label = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "R", "table").otherwise("figure")
+    return table(spark, sf_dir, "lineitem").where("l_quantity < 10").groupBy(label.alias("label")).agg(F.count("*").alias("removed"))
+
+
+@query("SELECT source AS document_id, doc_id, (row_number() OVER w - 1)::INT AS chunk_index, ((row_number() OVER w - 1) // 50)::INT AS batch FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def chunk_numbers(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return _documents(spark, sf_dir).select(F.col("source").alias("document_id"), "doc_id", n.alias("chunk_index"), F.floor(n / 50).cast("int").alias("batch"))
+
+
+_PROFILES = [p for p in D.WEIGHTS if p != "default"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}', {w}::DOUBLE)" for p in [*_PROFILES, "none"] for s, w in zip(D.SOURCES, D.WEIGHTS.get(p, D.WEIGHTS["default"]), strict=True)) + ") t(profile, source, weight)")
+def weight_profiles(spark, sf_dir):
+    p = spark.range(1).select(F.explode(F.array(*map(F.lit, [*_PROFILES, "none"]))).alias("profile"))
+    s = p.select("profile", F.explode(F.array(*map(F.lit, D.SOURCES))).alias("source"))
+    return s.select("profile", "source", fusion.weight_of(F.col("source"), F.col("profile")).alias("weight"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter([trim(' x' || c_nationkey), trim(' '), trim('x' || c_nationkey || ' '), 'y'], lambda v: v <> ''))), ',') AS people FROM customer""")
+def clean_entities(spark, sf_dir):
+    n = F.col("c_nationkey").cast("string")
+    m = F.create_map(F.lit("people"), F.array(F.concat(F.lit(" x"), n), F.lit(" "), F.concat(F.lit("x"), n, F.lit(" ")), F.lit("y")), F.lit("unknown"), F.array(F.lit("z")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(filters.clean_entities(m, ["people"])["people"], ",").alias("people"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding, label, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt, count(*) OVER (PARTITION BY label) AS total FROM embeddings)
+    SELECT label AS id, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS breaks FROM s WHERE total >= 3 AND list_inner_product(embedding::DOUBLE[], nxt::DOUBLE[]) < 0.1 GROUP BY label""")
+def semantic_breakpoints(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select(F.col("label").alias("id"), F.col("vec_id").alias("n"), F.col("vec_id").alias("end"), F.col("embedding").alias("vector"))
+    return chunking.breakpoints(v, 0.1).select("id", F.array_join(F.transform("breaks", lambda x: x.cast("string")), ",").alias("breaks"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, max(ts) AS last_access FROM events GROUP BY user_id), n AS (SELECT key, last_access FROM c WHERE key % 2 = 0),
+    e AS (SELECT DISTINCT user_id + 1000000 AS key, (SELECT max(ts) FROM events) AS last_access FROM events WHERE user_id < 5)
+    SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM e) ORDER BY last_access DESC, key LIMIT 10""")
+def cache_put(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    old = e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access")).where("key % 2 = 0")
+    new = e.where("user_id < 5").select((F.col("user_id") + 1000000).alias("key")).distinct().crossJoin(F.broadcast(e.agg(F.max("ts").alias("last_access"))))
+    return cache.put(old, new, 10)
