@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import math
 import statistics
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkwell.functions import domain as D
 
@@ -112,19 +114,46 @@ def filter_boxes(boxes: np.ndarray, labels: list[str], scores: np.ndarray, cfg:
     return np.array(kept, dtype=int), scores, stats
 
 
+def _by_page(detections: DataFrame, extra: list[str], fn: Callable[[list[dict], dict], list[tuple]], element: str) -> DataFrame:
+    """Each page's boxes (in list order) through fn, which returns rows of `element`; whole pages travel in Arrow batches, so small pages cost little.
+
+    extra: columns that are the same on all of a page's rows.
+    """
+    boxes = F.array_sort(F.collect_list(F.struct("pos", F.col("bbox").cast("array<double>").alias("bbox"), "label", F.col("confidence").cast("double").alias("confidence"))))
+    pages = detections.groupBy(*PAGE).agg(boxes.alias("boxes"), *[F.first(c).alias(c) for c in extra])
+    names = [x.strip().split(" ")[0] for x in element.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            out = [fn(r["boxes"], r) for r in rows]
+            flat = [t for page in out for t in page]
+            offsets = np.concatenate([[0], np.cumsum([len(page) for page in out])]).astype(np.int32)
+            columns = [pa.array([t[i] for t in flat], type=_arrow(kind)) for i, kind in enumerate(kinds)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], [*PAGE, "found"])
+
+    kinds = [x.strip().split(" ")[1] for x in element.split(",")]
+    struct = ",".join(f"{n}:{k}" for n, k in zip(names, kinds, strict=True))
+    kept = pages.mapInArrow(run, f"document_id string, page_number int, found array<struct<{struct}>>")
+    return kept.select(*PAGE, F.inline("found"))
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[kind]
+
+
 def filter_detections(detections: DataFrame, cfg: BoxConfig | None = None) -> DataFrame:
     """The boxes kept, with their (soft) confidence, and each page's counts beside every row."""
     cfg = cfg or BoxConfig()
     counts = ["input_count", "output_count", "containment_removed", "iou_removed", "soft_nms_removed"]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable").reset_index(drop=True)
-        keep, scores, stats = filter_boxes(np.stack(g["bbox"].to_numpy()).astype(float), g["label"].tolist(), g["confidence"].to_numpy(), cfg)
-        out = g.iloc[keep][[*PAGE, "pos", "bbox", "label"]].assign(confidence=scores, **{c: stats[c] for c in counts})
-        return out.assign(removed_by_label=[",".join(f"{k}={v}" for k, v in sorted(stats["removed_by_label"].items()))] * len(out))
+    def run(boxes: list[dict], _: dict) -> list[tuple]:
+        keep, scores, stats = filter_boxes(np.array([x["bbox"] for x in boxes], dtype=float), [x["label"] for x in boxes], np.array([x["confidence"] for x in boxes]), cfg)
+        removed = ",".join(f"{k}={v}" for k, v in sorted(stats["removed_by_label"].items()))
+        return [(boxes[i]["pos"], boxes[i]["bbox"], boxes[i]["label"], float(c), *(stats[k] for k in counts), removed) for i, c in zip(keep.tolist(), scores, strict=True)]
 
-    schema = "document_id string, page_number int, pos int, bbox array<double>, label string, confidence double, " + ", ".join(f"{c} int" for c in counts) + ", removed_by_label string"
-    return detections.groupBy(*PAGE).applyInPandas(run, schema)
+    return _by_page(detections, [], run, "pos int, bbox array<double>, label string, confidence double, " + ", ".join(f"{c} int" for c in counts) + ", removed_by_label string")
 
 
 @dataclass(frozen=True)
@@ -256,11 +285,9 @@ def reading_order(detections: DataFrame, cfg: OrderConfig | None = None) -> Data
     """
     cfg = cfg or OrderConfig()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable").reset_index(drop=True)
-        page = _Page(np.stack(g["bbox"].to_numpy()).astype(float), g["label"].tolist(), float(g["page_width"].iloc[0]), float(g["page_height"].iloc[0]), cfg)
-        line, wide = page.order()
-        out = g.iloc[line][[*PAGE, "pos", "bbox", "label", "confidence"]]
-        return out.assign(reading_order=np.arange(1, len(line) + 1), is_cross_layout=[wide[i] for i in line])
+    def run(boxes: list[dict], page: dict) -> list[tuple]:
+        labels = [x["label"] for x in boxes]
+        line, wide = _Page(np.array([x["bbox"] for x in boxes], dtype=float), labels, float(page["page_width"]), float(page["page_height"]), cfg).order()
+        return [(boxes[i]["pos"], boxes[i]["bbox"], boxes[i]["label"], boxes[i]["confidence"], k, wide[i]) for k, i in enumerate(line, 1)]
 
-    return detections.groupBy(*PAGE).applyInPandas(run, "document_id string, page_number int, pos int, bbox array<double>, label string, confidence double, reading_order int, is_cross_layout boolean")
+    return _by_page(detections, ["page_width", "page_height"], run, "pos int, bbox array<double>, label string, confidence double, reading_order int, is_cross_layout boolean")
