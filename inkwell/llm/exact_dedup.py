@@ -166,9 +166,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id",
     """The rows of docs, with their own columns, that exact_duplicates keeps; of repeated rows one."""
     sha = F.sha2(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), 256)
     kept = decisions.where("kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = packed(docs, own_id=F.col(f"`{id_column}`").cast("long"), own_sha=sha)
-    found = rows.join(kept, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_sha") == F.col("_sha")))
-    w = Window.partitionBy("_id", "_sha").orderBy(F.lit(1))
+    # plain equalities, so that the window below is dealt as the join is
+    key = lambda i: (F.coalesce(i, F.lit(0)), i.isNull())
+    k1, k2 = key(F.col(f"`{id_column}`").cast("long"))
+    rows = packed(docs, own_id=k1, own_null=k2, own_sha=sha)
+    k1, k2 = key(F.col("_id"))
+    found = rows.join(kept.select(k1.alias("own_id"), k2.alias("own_null"), F.col("_sha").alias("own_sha")), ["own_id", "own_null", "own_sha"])
+    w = Window.partitionBy("own_id", "own_null", "own_sha").orderBy(F.lit(1))
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("row.*")
 
 
