@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import map_rows
 
-#: Pieces that a worker remembers before it starts afresh (about 200 bytes each).
+#: Pieces that a worker remembers before it goes on with those of the present block (about 250 bytes each).
 CACHE_PIECES = 300_000
 #: Pieces and bytes of pieces in one recursive query.
 BLOCK_PIECES, BLOCK_BYTES = 40_000, 400_000
@@ -129,9 +129,9 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces not met before."""
-        if len(self.packed) > CACHE_PIECES:
-            self.packed.clear()
-            self.decoded.clear()
+        if len(self.packed) > CACHE_PIECES:  # go on with the pieces in use
+            self.packed = {p: self.packed[p] for p in pieces if p in self.packed}
+            self.decoded = {x: self.decoded[x] for x in self.packed.values()}
         new = [(p, p.encode()) for p in pieces if p not in self.packed]
         todo: list[tuple[str, bytes]] = []
         for p, b in new:
