@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import map_rows
+from inkwell.llm.common import held, map_rows
 
 #: Pieces that a worker remembers before it goes on with those of the present block (about 250 bytes each).
 CACHE_PIECES = 300_000
@@ -112,7 +112,7 @@ class Codec:
         self.packed: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.byte_id = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         pair, made = [], []
         for t, rank in self.ids.items():
             for k in range(1, len(t)):
@@ -224,16 +224,10 @@ def _blocks(texts: list[str], chars: int = 4_000_000):
         yield block
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """This worker's codec of a broadcast vocabulary."""
-    key = hash((shared.value.pattern, len(shared.value.tokens), shared.value.tokens[-64:]))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
+    v = shared.value
+    return held(f"bpe {hash((v.pattern, len(v.tokens), v.tokens[-64:]))}", lambda: Codec(v))
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:

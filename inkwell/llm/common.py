@@ -39,6 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """This Python worker's object of that name, kept from task to task. What other operators held is let go when it is made."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system, so that reused workers stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library
+
+
 def map_rows(df: DataFrame, columns: dict[str, str | Column], fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> DataFrame:
     """Apply fn to each Arrow batch of the chosen columns.
 
@@ -53,6 +75,7 @@ def map_rows(df: DataFrame, columns: dict[str, str | Column], fn: Callable[[dict
                 continue
             out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+        release()
 
     return picked.mapInArrow(run, spark_schema(schema))
 
@@ -106,6 +129,7 @@ def filter_rows(df: DataFrame, columns: dict[str, str | Column], keep: Callable[
             if b.num_rows:
                 mask = keep({k: b.column(width + i).to_pylist() for i, k in enumerate(keys)})
                 yield b.select(list(range(width))).filter(pa.array(mask, pa.bool_()))
+        release()
 
     return extended.mapInArrow(run, df.schema)
 

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, map_rows
+from inkwell.llm.common import cut, held, map_rows, release
 from inkwell.llm.components import connected_components
 
 #: Words in a shingle; bands and rows of the MinHash table; bits of the odd sketch; most ones in an XOR that pass.
 SHINGLE, BANDS, ROWS, BITS, MAX_XOR = 5, 36, 5, 512, 112
 #: Classes in one block of a bucket; classes and shingles in one block of a cluster.
-BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 4096, 1024, 500_000
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 400_000
 #: Words whose hashes a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 
@@ -59,7 +59,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
 
 
@@ -72,9 +71,10 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = held("words", _Words)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(width, len(words))
     s = np.zeros(len(words) - k + 1, dtype=np.uint64)
     for i in range(k):
@@ -151,8 +151,8 @@ def _bucket_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node = g["node"].to_numpy()
         sk = np.stack(g["sketch"].to_numpy()).view(np.uint64)
         ok = np.zeros((len(node), len(node)), dtype=bool)
-        for at in range(0, len(node), 256):
-            ok[at : at + 256] = np.bitwise_count(sk[at : at + 256, None] ^ sk[None]).sum(axis=2, dtype=np.int32) <= MAX_XOR
+        for at in range(0, len(node), 64):
+            ok[at : at + 64] = np.bitwise_count(sk[at : at + 64, None] ^ sk[None]).sum(axis=2, dtype=np.int32) <= MAX_XOR
         label = _forest(ok)
         diff = label != np.arange(len(node))
         us.append(node[diff])
@@ -162,12 +162,13 @@ def _bucket_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             us, vs = [], []
     if us:
         yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+    release()
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """The sizes of all pairwise intersections: rare shingles by their pairs, common ones by matrix product."""
     m = len(sets)
-    out = np.zeros(m * m, dtype=np.int64)
+    out = np.zeros(m * m, dtype=np.int32)
     h = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(h, kind="stable")
@@ -180,7 +181,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     o, k = owner[pick], of[pick]
     for d in range(1, int(df[rare].max()) if rare.any() else 0):
         same = k[d:] == k[:-d]
-        out += np.bincount(o[:-d][same] * m + o[d:][same], minlength=m * m)
+        out += np.bincount(o[:-d][same] * m + o[d:][same], minlength=m * m).astype(np.int32)
     out = out.reshape(m, m)
     out = out + out.T
     much = np.flatnonzero((df > 1) & ~rare)
@@ -188,11 +189,11 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     place[much] = np.arange(len(much))
     pick = np.flatnonzero(place[of] >= 0)
     row, column = owner[pick], place[of[pick]]
-    for at in range(0, len(much), 4096):
-        here = (column >= at) & (column < at + 4096)
-        x = np.zeros((m, min(4096, len(much) - at)), dtype=np.float32)
+    for at in range(0, len(much), 2048):
+        here = (column >= at) & (column < at + 2048)
+        x = np.zeros((m, min(2048, len(much) - at)), dtype=np.float32)
         x[row[here], column[here] - at] = 1
-        out += np.rint(x @ x.T).astype(np.int64)
+        out += np.rint(x @ x.T).astype(np.int32)
     return out
 
 
@@ -213,6 +214,7 @@ def _verifier(percent: int, width: int):
             diff = label != np.arange(len(nodes))
             if diff.any():
                 yield pd.DataFrame({"u": nodes[diff], "v": nodes[label[diff]]})
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import held_out, learning_labels, map_rows, sigmoid
+from inkwell.llm.common import held, held_out, learning_labels, map_rows, sigmoid
 
 #: Most toxic and ordinary documents of the learning fold that are fitted (first by hash of the id), and the most
 #: characters of a document among them; of each, the share that trains dictionaries (the rest calibrates).
@@ -152,15 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit([r["text"] for r in got if r["y"] == 1], [r["text"] for r in got if r["y"] == 0])
 
 
-_gains: dict[int, Gains] = {}
-
-
 def _worker(model: Model) -> Gains:
-    key = hash(model)
-    g = _gains.get(key)
-    if g is None or len(g) > CACHE:
-        _gains.clear()
-        g = _gains[key] = Gains(model)
+    g = held(f"gains {hash(model)}", lambda: Gains(model))
+    if len(g) > CACHE:
+        g.clear()
     return g
 
 
