@@ -24,7 +24,7 @@ from inkwell.llm.common import held, held_out, learning_labels, map_rows, sigmoi
 
 #: Most toxic and ordinary documents of the learning fold that are fitted (first by hash of the id), and the most
 #: characters of a document among them; of each, the share that trains dictionaries (the rest calibrates).
-TOXIC, ORDINARY, SAMPLE_CHARS, TRAINS = 2400, 7000, 100_000, 0.7
+TOXIC, ORDINARY, SAMPLE_CHARS, TRAINS = 2400, 7000, 20_000, 0.7
 #: Bytes of a window and of the dictionaries; windows that a worker remembers.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, CACHE = 48, 16384, 8192, 400_000
 SEED, THRESHOLD = 13, 0.5
