@@ -39,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as the small side of a join by the keys it was just aggregated by.
+
+    The aggregation and the join would share one exchange, and adaptive execution then can't split a hot key of the
+    other side; with a rebalance in between, both sides of the join have exchanges of their own and it can.
+    """
+    return df.hint("rebalance")
+
+
 _held: dict[str, object] = {}
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, held, map_rows, release
+from inkwell.llm.common import apart, cut, held, map_rows, release
 from inkwell.llm.components import connected_components
 
 #: Words in a shingle; bands and rows of the MinHash table; bits of the odd sketch; most ones in an XOR that pass.
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     clusters = cut(connected_components(near))
 
     sized = clusters.join(classes.select("node", "id", "n"), "node")
-    weight = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("parts"))
+    weight = apart(sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("parts")))
     wanted = sized.join(weight, "component").select(F.col("id").alias("want"), "node", F.col("component").alias("cluster"), "parts")
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("cluster", "node", "parts", "text")
     dealt = _in_blocks(texts, "parts", "node").select("cluster", "i", "j", "node", "text")
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     linked = cut(connected_components(links))
 
     own = classes.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = own.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = apart(own.groupBy("component").agg(F.min("id").alias("component_id")))
     final = own.join(least, "component").select("node", "component_id")
     out = signed.select("id", "n", "node").join(final, "node", "left")
     component = F.coalesce("component_id", "id")
