@@ -224,7 +224,7 @@ def hyde_blend(spark, sf_dir):
 
 
 @query(f"""WITH a AS (SELECT item_id, lower(text) AS q FROM benchmark), n AS (SELECT item_id, q, len(string_split_regex(trim(q), '\\s+')) AS n FROM a)
-    SELECT item_id, CASE WHEN n <= 3 THEN 0.3 WHEN trim(q) LIKE '%?' AND n <= 8 THEN 0.45 WHEN n <= 10 THEN 0.48 ELSE 0.6 END AS alpha FROM n""")
+    SELECT item_id, (CASE WHEN n <= 3 THEN 0.3 WHEN trim(q) LIKE '%?' AND n <= 8 THEN 0.45 WHEN n <= 10 THEN 0.48 ELSE 0.6 END)::DOUBLE AS alpha FROM n""")
 def adaptive_alpha(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.adaptive_alpha(F.lower("text")), 6).alias("alpha"))
 
