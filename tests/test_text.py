@@ -24,7 +24,7 @@ def test_expanded_tokens(spark):
     df = spark.createDataFrame([("WC claim, the carriers' COI!",), ("do d&o",), ("",)], "t string")
     got = [r[0] for r in df.select(T.analyse(F.col("t"))).collect()]
     assert got[0][:3] == ["workers", "compensation", "claim"]
-    assert got[0][3:6] == ["los", "incident", "occurrence"] or got[0][3] in ("loss", "los")
+    assert got[0][3:6] == ["los", "incident", "occurrence"]
     assert got[0][-2:] == ["certificate", "insurance"] and "carrier" in got[0]
     assert got[1] == [] and got[2] == []
 
@@ -45,7 +45,7 @@ def test_chunk_id(spark):
 
 def test_split_text():
     assert C.split_text("a\n\nb\n\n" + "c" * 30, 20) == ["a\n\nb", "c" * 30]
-    assert C.split_text("One. Two? Three! a|b", 8) == ["One.", "Two?", "Three! a", "b"] or C.split_text("One. Two? Three! a|b", 8)[0].startswith("One.")
+    assert C.split_text("One. Two? Three! a|b", 8) == ["One.", "Two?", "Three! a", "b"]
     assert C.split_text(" \n\n ", 10) == []
 
 
