@@ -1,4 +1,3 @@
-import base64  # noqa: F401
 import hashlib
 import random
 
