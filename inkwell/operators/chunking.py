@@ -80,7 +80,7 @@ def split_content(content: str, size: int = MAX_CHUNK) -> list[str]:
 
 
 def _by_sentences(para: str, size: int) -> list[str]:
-    return pack([s for s in re.split(r"(?<=[.!?])\s+", para)], size, " ", 1)
+    return pack(re.split(r"(?<=[.!?])\s+", para), size, " ", 0)
 
 
 _FENCE, _HEADING, _ITEM = "```", re.compile(r"(#{1,6})\s+(.+)$"), re.compile(r"\s*(?:[-*+]|\d+\.)\s+")
@@ -248,7 +248,7 @@ def row_batches(rows: DataFrame, columns: list[str], order: list[str], group: st
     def run(s: pd.Series) -> pd.Series:
         def one(ls: list[str]) -> list[str]:
             whole = "\n".join([header, *ls])
-            return [whole] if len(whole) <= 2 * size else ["\n".join([header, *x.split("\n")]) for x in pack(list(ls), 2 * size - len(header) - 1, "\n", 1)]
+            return [whole] if len(whole) <= 2 * size else [f"{header}\n{x}" for x in pack(list(ls), 2 * size - len(header), "\n", 1)]
 
         return s.map(one)
 
