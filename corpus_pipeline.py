@@ -37,7 +37,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and hashes of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, bpe.public_vocabulary(), with_ids=True)
+    return bpe.encode_documents(docs, bpe.public_vocabulary(), with_ids=True, frugal=True)
 
 
 STAGES = [

@@ -28,8 +28,8 @@ from inkwell.llm.common import held, map_rows
 
 #: Pieces that a worker remembers before it goes on with those of the present block (about 250 bytes each).
 CACHE_PIECES = 300_000
-#: Pieces and bytes of pieces in one recursive query.
-BLOCK_PIECES, BLOCK_BYTES = 40_000, 400_000
+#: Pieces in one recursive query (or ten times as many bytes); characters of texts that are split and encoded together.
+BLOCK_PIECES, BLOCK_CHARS = 40_000, 4_000_000
 #: Bytes above which a piece takes the variant for long ones.
 LONG_PIECE = 64
 
@@ -102,10 +102,11 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
 class Codec:
     """Encodes and decodes pieces with a DuckDB of its own; one lives in each Python worker."""
 
-    def __init__(self, v: Vocabulary) -> None:
+    def __init__(self, v: Vocabulary, cache_pieces: int = CACHE_PIECES, block_pieces: int = BLOCK_PIECES) -> None:
         import duckdb
         import regex
 
+        self.cache_pieces, self.block_pieces = cache_pieces, block_pieces
         self.ids = {t: i for i, t in enumerate(v.tokens)}
         self.tokens = v.tokens
         self.split = regex.compile(v.pattern).findall
@@ -129,7 +130,7 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces not met before."""
-        if len(self.packed) > CACHE_PIECES:  # go on with the pieces in use
+        if len(self.packed) > self.cache_pieces:  # go on with the pieces in use
             self.packed = {p: self.packed[p] for p in pieces if p in self.packed}
             self.decoded = {x: self.decoded[x] for x in self.packed.values()}
         new = [(p, p.encode()) for p in pieces if p not in self.packed]
@@ -147,7 +148,7 @@ class Codec:
         for x in todo:
             block.append(x)
             size += len(x[1])
-            if len(block) >= BLOCK_PIECES or size >= BLOCK_BYTES:
+            if len(block) >= self.block_pieces or size >= 10 * self.block_pieces:
                 self._short(block)
                 block, size = [], 0
         if block:
@@ -194,13 +195,10 @@ class Codec:
         return _bytes(text)
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """Packed ids of each text's pieces."""
-        out = []
-        for block in _blocks(texts):
-            split = [self.split(t) for t in block]
-            self.learn(set().union(*split) if split else set())
-            out += [list(map(self.packed.__getitem__, s)) for s in split]
-        return out
+        """Packed ids of each text's pieces; the texts should be a block's worth."""
+        split = [self.split(t) for t in texts]
+        self.learn(set().union(*split) if split else set())
+        return [list(map(self.packed.__getitem__, s)) for s in split]
 
     def decode(self, pieces: list[bytes]) -> bytes:
         """The bytes of the packed ids of pieces that `encode` has just returned."""
@@ -212,7 +210,7 @@ def _bytes(chars: str) -> bytes:
     return chars.encode("utf-16-le")[::2]
 
 
-def _blocks(texts: list[str], chars: int = 4_000_000):
+def _blocks(texts: list[str], chars: int = BLOCK_CHARS):
     block, size = [], 0
     for t in texts:
         block.append(t)
@@ -224,28 +222,30 @@ def _blocks(texts: list[str], chars: int = 4_000_000):
         yield block
 
 
-def _codec(shared) -> Codec:
+def _codec(shared, frugal: bool = False) -> Codec:
     """This worker's codec of a broadcast vocabulary."""
     v = shared.value
-    return held(f"bpe {hash((v.pattern, len(v.tokens), v.tokens[-64:]))}", lambda: Codec(v))
+    how = (CACHE_PIECES // 2, BLOCK_PIECES // 2) if frugal else (CACHE_PIECES, BLOCK_PIECES)
+    return held(f"bpe {hash((v.pattern, len(v.tokens), v.tokens[-64:], frugal))}", lambda: Codec(v, *how))
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, frugal: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids.
 
     Returns, for each row: the id column, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit
     integers), decoded_sha256 (of the decoded bytes) and, with_ids, ids (those bytes). A null text counts as
     empty: 0 tokens and the hash of no bytes. Repeated rows are encoded each; a null id stays null; an
-    empty table gives an empty one; other columns of docs are ignored.
+    empty table gives an empty one; other columns of docs are ignored. frugal: blocks and caches of half the size
+    and less, for workers that share their memory with other work; somewhat slower, the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # under 1 MB: at most 65536 tokens
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids)
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        codec = _codec(shared)
+        codec = _codec(shared, frugal)
         out: dict[str, list] = {f.name: [] for f in schema}
         out["id"] = b["id"]
-        for block in _blocks([t or "" for t in b["text"]]):
+        for block in _blocks([t or "" for t in b["text"]], BLOCK_CHARS // 4 if frugal else BLOCK_CHARS):
             for pieces in codec.encode(block):
                 ids = b"".join(pieces)
                 out["n_tokens"].append(len(ids) // 4)
