@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, map_rows, packed
+from inkwell.llm.common import apart, cut, map_rows, packed
 
 #: Primes below 2^31 and bases of the four lanes.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.int64)
@@ -139,11 +139,13 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     todo = prints  # rows whose groups have not been compared
     while True:
         groups = todo.groupBy(*key).agg(F.max("id").alias("keep_id"), F.max_by("text_sha256", F.coalesce("id", F.lit(-(1 << 63)))).alias("keep_sha"), F.count("*").alias("n")).where("n > 1")
+        groups = apart(groups)
         members = todo.join(groups, key).select("id", "text_sha256", *key, "keep_id", "keep_sha")
         texts = source.join(members, source["id"].eqNullSafe(members["id"]) & (F.sha2(source["text"], 256) == members["text_sha256"])).select(members["id"], "text_sha256", *key, "keep_id", "keep_sha", F.col("text").cast("binary").alias("data"))
         texts = texts.withColumn("stays", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha")))
-        stays = texts.where("stays").select(*key, F.col("data").alias("other")).groupBy(*key).agg(F.first("other").alias("other"))
-        unlike = cut(texts.where("NOT stays").join(stays, key).where(~_equal(F.col("data"), F.col("other"))).select("id", "text_sha256", *key).distinct())
+        stays = apart(texts.where("stays").select(*key, F.col("data").alias("other")).groupBy(*key).agg(F.first("other").alias("other")))
+        # made distinct after the cut: an aggregation right above the join would keep a hot group in one task
+        unlike = cut(texts.where("NOT stays").join(stays, key).where(~_equal(F.col("data"), F.col("other"))).select("id", "text_sha256", *key)).distinct()
         if unlike.isEmpty():
             break
         moved = [F.col("id").eqNullSafe(F.col("u.id")), *(F.col(f"p.{c}") == F.col(f"u.{c}") for c in ("text_sha256", *key))]
@@ -155,7 +157,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         last = prints.agg(F.max("turn")).first()[0]
         todo = prints.where(F.col("turn") == last)
 
-    sizes = prints.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    sizes = apart(prints.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")))
     rows = prints.join(sizes, key).select("id", "text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     # rows without any id: one of the group's copies is kept; equal texts have one row in prints for each id
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
