@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and checkpoints of finished steps now; else they stay until the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(df: DataFrame) -> DataFrame:
     """df as the small side of a join by the keys it was just aggregated by.
 

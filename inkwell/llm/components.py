@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import apart, cut
+from inkwell.llm.common import cut, sweep
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,13 +22,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = apart(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
         e = cut(large.join(small, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         after = mark(e)
         if after == before:
             break
         before = after
+    sweep(edges.sparkSession)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
