@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are long tokens with letters and digits, tokens with the prefix of a known key format and values
-assigned to a telling name. The forest sees a candidate's length, character transitions, entropy and classes, how
+assigned to a telling name, of any length. The forest sees a candidate's length, character transitions, entropy and classes, how
 much of it common words and letter pairs cover, the path it stands in and the words before it. It is trained on
 labelled findings: a table of (line, value, path, is_secret) or, by default, a seeded set generated from key
 formats and from look-alikes (hashes in commit lines, identifiers, versions, placeholders).
@@ -28,8 +28,8 @@ TREES, DEPTH, SEED, GENERATED, THRESHOLD = 40, 9, 17, 4000, 0.5
 
 _NAMES = r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key"
 _CANDIDATE = re.compile(
-    rf"(?i:\b[a-z0-9_.-]*(?:{_NAMES})[a-z0-9_-]*[\"']?\s*(?::=|=>|=|:)\s*)(?P<assigned>\"[^\"\s]{{6,200}}\"|'[^'\s]{{6,200}}'|[^\s\"',;]{{6,200}})"
-    r"|(?<![A-Za-z0-9+/_=-])(?P<bare>[A-Za-z0-9+/_=-]{16,200})(?![A-Za-z0-9+/_=-])"
+    rf"(?i:\b[a-z0-9_.-]*(?:{_NAMES})[a-z0-9_-]*[\"']?\s*(?::=|=>|=|:)\s*)(?P<assigned>\"[^\"\s]{{6,}}+\"|'[^'\s]{{6,}}+'|[^\s\"',;]{{6,}}+)"
+    r"|(?<![A-Za-z0-9+/_=-])(?P<bare>[A-Za-z0-9+/_=-]{16,}+)"
 )
 _PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")

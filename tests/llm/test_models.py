@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -106,6 +107,18 @@ def test_secrets(spark, docs, no_docs):
     assert ((secrets.train().probability(x) >= 0.5) == y).mean() > 0.9
 
 
+def test_long_secrets():
+    r = random.Random(5)
+    forest = secrets.train()
+    for n in (200, 201, 5000):
+        value = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+        for before, after in (('token = "', '"'), ("token = '", "'"), ("token = ", ""), ("bearer ", "")):
+            text = f"see {before}{value}{after} end"
+            (found,) = secrets.candidates(text)
+            assert found[:3] == (4 + len(before), 4 + len(before) + n, value)
+            assert forest.probability(np.array([secrets.features(found[2], found[3], "", found[4])]))[0] >= secrets.THRESHOLD
+
+
 def test_licenses(spark, docs, no_docs):
     s = licenses.Scanner()
     mit = "MIT License\n\nCopyright (c) 2020 Me\n\n" + licenses.SENTENCES["mit-grant"].replace("restriction, ", "restriction,\n") + ":\n\n" + licenses.SENTENCES["mit-notice"] + ".\n\n" + licenses.SENTENCES["mit-as-is"] + "."
