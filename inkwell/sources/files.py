@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_TYPES, TABULAR_TYPES = ("pdf", "docx", "pptx", "txt", "md"), ("csv", "xlsx", "xls")
-MAX_BYTES = 100 * 1024 * 1024
+#: What an upload may have, and what Spark's binaryFile reads into a row.
+MAX_BYTES, ROW_BYTES = 100 * 1024 * 1024, 2_000_000_000
 
 
 def file_type(path: Column) -> Column:
@@ -32,16 +33,26 @@ def is_tabular(kind: Column) -> Column:
 def discover(spark: SparkSession, folder: str, types: tuple[str, ...] = DOCUMENT_TYPES + TABULAR_TYPES, content: bool = False) -> DataFrame:
     """id, file_path, file_name, file_type, length, modified, is_tabular and, with content, file_hash and content of all files under a folder.
 
-    Files over MAX_BYTES or with `..` in the path are left out.
+    No row can hold the content of a file over ROW_BYTES: such a file is listed with a null hash and content.
     """
     glob = "*.{" + ",".join(x for t in types for x in (t, t.upper())) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     path = F.col("path")
-    out = rows.where((F.col("length") <= MAX_BYTES) & ~path.contains("/../")).select(
+    fields = [
         F.substring(F.sha2(path, 256), 1, 32).alias("id"), path.alias("file_path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), file_type(path).alias("file_type"),
-        "length", F.col("modificationTime").alias("modified"), is_tabular(file_type(path)).alias("is_tabular"), *([F.sha2("content", 256).alias("file_hash"), "content"] if content else []),
-    )
-    return out
+        "length", F.col("modificationTime").alias("modified"), is_tabular(file_type(path)).alias("is_tabular"),
+    ]
+    if not content:
+        return rows.select(*fields)
+    held = rows.where(F.col("length") <= ROW_BYTES).select(*fields, F.sha2("content", 256).alias("file_hash"), "content")
+    return held.unionByName(rows.where(F.col("length") > ROW_BYTES).select(*fields, F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("binary").alias("content")))
+
+
+def upload_error(name: Column, length: Column) -> Column:
+    """Why a file may not be uploaded under a name (its type, `..` in it, over MAX_BYTES); null if it may."""
+    known = F.coalesce(file_type(name).isin(*DOCUMENT_TYPES, *TABULAR_TYPES), F.lit(False))
+    big = F.lit(f"File too large (max {MAX_BYTES // 1024 // 1024}MB)")
+    return F.when(~known, "Unsupported file type").when(name.contains(".."), "Invalid path").when(length > MAX_BYTES, big)
 
 
 def listing(files: DataFrame, documents: DataFrame, folder: str) -> DataFrame:
@@ -141,6 +152,9 @@ class Registry:
         def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
             out = []
             for k, c in zip(kind, content, strict=True):
+                if c is None:
+                    out.append((None, "no content"))
+                    continue
                 try:
                     out.append((readers[k](bytes(c)), None) if k in readers else (None, f"no reader for {k}"))
                 except Exception as e:

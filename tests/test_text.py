@@ -134,6 +134,18 @@ def test_office_files(spark, tmp_path):
     assert [(r["name"], r["is_dir"]) for r in top] == [("sub", True), ("b.pptx", False), ("bad.docx", False), ("c.txt", False), ("d.pdf", False)]
 
 
+def test_discover_large_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "small.csv").write_text("a\n1\n")
+    with open(tmp_path / "large.csv", "wb") as f:
+        f.truncate(files.MAX_BYTES + 1)
+    found = files.discover(spark, str(tmp_path)).withColumn("e", files.upload_error(F.col("file_name"), F.col("length")))
+    assert {r["file_name"]: r["e"] for r in found.collect()} == {"small.csv": None, "large.csv": "File too large (max 100MB)"}
+    monkeypatch.setattr(files, "ROW_BYTES", 100)
+    held = files.discover(spark, str(tmp_path), content=True)
+    assert {r["file_name"]: r["file_hash"] is None for r in held.collect()} == {"small.csv": False, "large.csv": True}
+    assert {r["error"] for r in files.default_registry().parse(held.where("file_name = 'large.csv'")).collect()} == {"no content"}
+
+
 def test_csv(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_bytes("name,n\nJosé,1\n".encode("iso-8859-1"))
