@@ -29,6 +29,22 @@ class VisionModel(Protocol):
     def read(self, kind: str, images: list[bytes]) -> list[str]: ...
 
 
+class PageRenderer(Protocol):
+    """Pages of a document: how many, width and height of each, and each as a PNG."""
+
+    def count(self, document: bytes) -> int: ...
+
+    def sizes(self, document: bytes) -> list[tuple[float, float]]: ...
+
+    def render(self, document: bytes, page: int, dpi: int = 150) -> bytes: ...
+
+
+class LayoutDetector(Protocol):
+    """(label, confidence, x1, y1, x2, y2) of each region of each page's image, unfiltered; operators/layout.py filters them."""
+
+    def detect(self, images: list[bytes], confidence: float = 0.2, size: int = 1024) -> list[list[tuple[str, float, float, float, float, float]]]: ...
+
+
 class PairScorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
 

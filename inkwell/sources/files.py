@@ -6,6 +6,8 @@ filters on path and length prune before contents are read.
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
 import re
 import zipfile
@@ -135,6 +137,22 @@ def pptx_markdown(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+def decoded(data: bytes) -> str:
+    """The text of bytes with a mark of their encoding, in UTF-8, or else in ISO-8859-1."""
+    if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+        return data.decode("utf-16")
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("iso-8859-1")
+
+
+def csv_markdown(data: bytes) -> str:
+    """All rows as a pipe table."""
+    csv.field_size_limit(2**31 - 1)
+    return _table(list(csv.reader(io.StringIO(decoded(data), newline=""))))
+
+
 @dataclass(frozen=True)
 class Registry:
     """Readers by file type: content -> markdown."""
@@ -165,9 +183,9 @@ class Registry:
 
 
 def default_registry() -> Registry:
-    """Word, slides and plain text; PDF and spreadsheets need a library of the caller's."""
+    """Word, slides, CSV and plain text; PDF and spreadsheets need a library of the caller's."""
     plain = lambda b: b.decode("utf-8", "replace")
-    readers: dict[str, Callable[[bytes], str]] = {"docx": docx_markdown, "pptx": pptx_markdown, "txt": plain, "md": plain}
+    readers: dict[str, Callable[[bytes], str]] = {"docx": docx_markdown, "pptx": pptx_markdown, "csv": csv_markdown, "txt": plain, "md": plain}
     try:
         import openpyxl  # noqa: F401
 

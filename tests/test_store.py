@@ -1,13 +1,14 @@
 """The store, the cache, retrieval pieces and streams end to end."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import bm25, cache, diversity, filters, fusion, store, vectors
-from inkwell.plans import adapters, index, search
+from inkwell.plans import adapters, answers, index, search
 from inkwell.streaming import watch
 
 
@@ -123,6 +124,64 @@ def test_index_and_search(spark):
     assert best["document_id"] == "d2" and any("water" in h for h in best["highlights"])
 
 
+def test_chunked_dispatch(spark):
+    docs = spark.createDataFrame([("d1", "a.md", "md", "# Top\nText.", None), ("d2", "b.CSV", "CSV", None, None), ("d3", "c.csv", "csv", None, None)], "id string, file_name string, file_type string, reviewed_markdown string, extracted_markdown string")
+    content = spark.createDataFrame([("d2", bytearray(b"a,b\n1,x\n2,\n"))], "id string, content binary")
+    for strategy in ("hierarchical", "paragraph"):
+        got = index.chunked(docs, strategy, files=content).orderBy("document_id", "chunk_index").collect()
+        assert {r["document_id"] for r in got} == {"d1", "d2", "d3"}
+        table = [r for r in got if r["document_id"] == "d2"]
+        assert [r["content_type"] for r in table] == ["summary", "schema", "paragraph", "row_batch"] and [r["chunk_index"] for r in table] == [0, 1, 2, 3]
+        assert table[3]["text"] == "Columns: a, b\nRow 1: a=1, b=x\nRow 2: a=2" and table[3]["prev_chunk_id"] == table[2]["chunk_id"]
+        assert [r["text"] for r in got if r["document_id"] == "d3"][1] == "[CSV parsing failed: no content]"
+
+
+class Echo:
+    def complete(self, prompts):
+        if any("broken" in p for p in prompts):
+            raise ValueError
+        return [json.dumps({"document_type": p.split()[2], "summary": p.split("---\n")[1], "key_topics": ["k"]}) for p in prompts]
+
+
+def test_documents_enriched(spark):
+    docs = spark.createDataFrame([("d1", "a.md", "md", "m" * 7000, None), ("d2", "b.csv", "csv", None, None)], "id string, file_name string, file_type string, reviewed_markdown string, extracted_markdown string")
+    content = spark.createDataFrame([("d2", bytearray(b"a,b\n1,x\n"))], "id string, content binary")
+    got = {r["id"]: r for r in index.documents_enriched(docs, Echo, content).collect()}
+    assert got["d1"]["document_type"] == "document" and got["d1"]["summary"] == "m" * 6000 + "\n[... content truncated ...]"
+    assert got["d2"]["document_type"] == "table" and "CSV File: b.csv\nTotal rows: 1" in got["d2"]["summary"] and got["d2"]["key_topics"] == ["k"]
+    lost = index.documents_enriched(docs.where("id = 'd1'").withColumn("file_name", F.lit("broken")), Echo).first()
+    assert lost["document_type"] == "unknown" and lost["summary"] == "Document: broken"
+
+
+def test_refined(spark):
+    text = " ".join(f"Sentence {w} speaks about {w} {w} only and at some length." for w in ("water", "fire", "claims", "agents"))
+    rows = [("d", 0, "a", "short", "P\n\nshort"), ("d", 1, "b", text, "P\n\n" + text)]
+    got = index.refined(spark.createDataFrame(rows, "document_id string, chunk_index int, chunk_id string, text string, contextualized_text string"), adapters.HashingEmbedder, 100).orderBy("chunk_index").collect()
+    assert [r["chunk_id"] for r in got] == ["a", "b_0", "b_1", "b_2", "b_3"] and " ".join(r["text"] for r in got[1:]) == text
+    assert all(r["contextualized_text"] == "P\n\n" + r["text"] for r in got) and [r["chunk_index"] for r in got] == [0, 1, 2, 3, 4]
+    assert index._cut_up("x" * 60 + " short " + "y" * 60 + " end", [61, 67, 127]) == ["x" * 60, "short " + "y" * 60 + " end"]
+
+
+class Talker:
+    def complete(self, prompts):
+        if any("fail" in p for p in prompts):
+            raise ValueError
+        return ["short" if "brief" in p else f"{p.count('Source Chunk')} " + p[-200:] + " and more words to be long enough for an answer" for p in prompts]
+
+
+def test_expanded_and_synthesised(spark):
+    asked = adapters.embedded(spark.createDataFrame([("a", "how do water claims work?"), ("b", "brief"), ("c", "fail")], "q string, text string").repartition(3, "q"), "text", adapters.HashingEmbedder)
+    before = {r["q"]: r["vector"] for r in asked.collect()}
+    for q in "abc":
+        r = answers.expanded(asked.where(F.col("q") == q), Talker, adapters.HashingEmbedder).first()
+        assert (r["hypothetical"] is not None) == (q == "a") and (r["vector"] == pytest.approx(before[q])) == (q != "a")
+        assert sum(x * x for x in r["vector"]) == pytest.approx(1)
+    found = spark.createDataFrame([("a", i, 0.0625, f"text {i}", "a.md") for i in range(1, 13)], "q string, rank int, score double, text string, file_name string")
+    assert "Document: a.md\nDocument Type: N/A\n" in answers.source_text(found).first()["source"] and "Score: 0.062\n" in answers.source_text(found).first()["source"]
+    got = {r["q"]: r["answer"] for r in answers.synthesised(asked, found, Talker).collect()}
+    assert got["a"].startswith("10 ") and got["b"] is None and got["c"] is None
+
+
 def test_folder_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("x")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators import chunking as C
 from inkwell.plans import adapters
-from inkwell.sources import files
+from inkwell.sources import files, tabular
 
 
 @pytest.mark.parametrize(("word", "stem"), [("workers", "worker"), ("compensation", "compensat"), ("business", "busi"), ("insurance", "insurance"), ("insured", "insur"), ("carrier", "carri"), ("carriers", "carrier"), ("exclusions", "exclusion"), ("deductible", "deduct")])
@@ -150,3 +150,16 @@ def test_csv(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_bytes("name,n\nJosé,1\n".encode("iso-8859-1"))
     assert files.read_csv(spark, str(p)).collect()[0]["name"] == "José"
+
+
+def test_csv_reader_and_pieces():
+    rows = "name,n\n" + "".join(f"José {i},{i if i % 2 else ''}\n" for i in range(120))
+    for encoding in ("utf-8", "utf-8-sig", "iso-8859-1", "utf-16"):
+        data = rows.encode(encoding)
+        assert files.csv_markdown(data).count("\n") == 121 and "| José 119 | 119 |" in files.csv_markdown(data)
+        got = tabular.pieces("csv", data, "x.csv", None)
+        assert [k for _, k, _ in got[:3]] == ["summary", "schema", "paragraph"] and got[1][0] == "Columns in x.csv:\n  - name: text\n  - n: integer"
+        lines = [x for t, k, _ in got if k == "row_batch" for x in t.split("\n")[1:]]
+        assert lines == [f"Row {i + 1}: name=José {i}" + (f", n={i}" if i % 2 else "") for i in range(120)]
+    assert files.csv_markdown(b"a\n" + b"x" * 200_000).count("x") == 200_000
+    assert "parsing failed" in tabular.pieces("csv", b"", "x.csv", "s")[1][0]
