@@ -1,8 +1,9 @@
 """Exact vector search: a batch of queries against all rows, in blocks.
 
-The query block goes to every task; a task multiplies its rows with the block and hands on the block's best k
-per query, so what is shuffled is k rows for each query and task, never the pairs. Query batches over
-BLOCK_QUERIES are searched block by block.
+The queries go to every task; a task multiplies its rows with them, a block of BLOCK_QUERIES at a time, and hands
+on the best k per query, so what is shuffled is k rows for each query and task, never the pairs. The driver and
+each worker hold all queries of a batch: 8 bytes for each of their numbers. Only filters of each query's own are
+joined as pairs.
 """
 
 from __future__ import annotations
@@ -26,22 +27,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
     if allowed is not None and "q" not in allowed.columns:
         rows = rows.join(allowed.select("id"), "id", "left_semi")
-    batch = queries.select("q", "vector").limit(BLOCK_QUERIES + 1).collect()
-    if len(batch) > BLOCK_QUERIES or allowed is not None and "q" in allowed.columns:
+    if allowed is not None and "q" in allowed.columns:
         return _joined(rows, queries, k, allowed)
-    names = np.array([r["q"] for r in batch])
-    block = np.array([r["vector"] for r in batch], dtype=np.float64)
+    batch = queries.select("q", "vector").toArrow()
+    names = np.array(batch["q"].to_pylist())
+    asked = np.array([np.asarray(v, dtype=np.float64) for v in batch["vector"].to_numpy()])
 
     def run(batches):
         for b in batches:
-            if not len(b) or not len(names):
+            if not len(b):
                 continue
             x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            s = np.round(block @ x.T, 12)
             ids = b["id"].to_numpy()
             n = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-            yield pd.DataFrame({"q": np.repeat(names, n), "id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
+            for at in range(0, len(names), BLOCK_QUERIES):
+                s = np.round(asked[at : at + BLOCK_QUERIES] @ x.T, 12)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
+                yield pd.DataFrame({"q": np.repeat(names[at : at + BLOCK_QUERIES], n), "id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
 
     q_type = queries.schema["q"].dataType.simpleString()
     best = rows.mapInPandas(run, f"q {q_type}, id {rows.schema['id'].dataType.simpleString()}, score double")
@@ -49,10 +51,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _joined(rows: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
-    """The same as columns, for large query sets or filters of each query's own."""
+def _joined(rows: DataFrame, queries: DataFrame, k: int, allowed: DataFrame) -> DataFrame:
+    """The same as columns, for filters of each query's own."""
     asked = queries.select("q", F.col("vector").alias("qv"))
-    pairs = allowed.join(asked, "q").join(rows, "id") if allowed is not None and "q" in allowed.columns else rows.crossJoin(asked)
+    pairs = allowed.join(asked, "q").join(rows, "id")
     scored = pairs.select("q", "id", F.round(V.dot(F.col("qv"), F.col("vector")), 12).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

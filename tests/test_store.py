@@ -67,6 +67,18 @@ def test_bm25_by_formula(spark):
     assert got == pytest.approx({1: 2 * part(2, 3), 2: part(1, 2)})
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id long, vector array<float>").repartition(5)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    found = vectors.top_k(df, df.withColumnRenamed("id", "q"), 30)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    x = np.float32(x).astype(float)
+    want = [(i, k + 1, int(j)) for i in range(60) for k, j in enumerate(np.argsort(-(x @ x[i]), kind="stable")[:30])]
+    assert sorted((g["q"], g["rank"], g["id"]) for g in found.collect()) == want
+    assert vectors.top_k(df, df.withColumnRenamed("id", "q").limit(0), 5).count() == 0
+
+
 def test_vectors_and_filters(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(60, 8))
