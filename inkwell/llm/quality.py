@@ -1,12 +1,12 @@
 """Quality classification by positive-unlabelled learning.
 
 Trusted positives are documents of the learning fold with label 1; the unlabelled set is a sample of all
-documents, whatever their labels. A small network over shape statistics of the whole text minimises the
-non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with the sigmoid loss (where the bracket
-falls below zero, the step goes against it). The class prior pi is estimated as the share of ones among the
-labels of the learning fold, or, where those hold no zeros, from the positives' mean output of a
-positive-against-unlabelled model. A logistic calibration on labels of the learning fold turns its output
-into a score.
+documents, whatever their labels. Labels 0 are not used. A small network over shape statistics of the whole text
+minimises the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with the sigmoid loss (where
+the bracket falls below zero, the step goes against it). The class prior pi is estimated by the best bin: of the
+score thresholds of a positive-against-unlabelled model, on rows it was not fitted to, the one that gives the least
+upper confidence bound of (share of unlabelled above) / (share of positives above). The score is the sigmoid of
+the network's output, shifted so that its mean over the unlabelled sample is the prior.
 
 The features of a document are a few numbers made in one pass of its text, in the tasks that read it; only those
 of the bounded samples come to the driver.
@@ -15,7 +15,8 @@ of the bounded samples come to the driver.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, filter_rows, held_out, learning_labels, map_rows, sigmoid
 
-#: Most trusted positives, unlabelled rows and calibration rows that are fitted, the first by hash of the id.
-POSITIVES, UNLABELLED, CALIBRATION = 6000, 12000, 6000
+#: Most trusted positives and unlabelled rows that are fitted, the first by hash; share of them that estimates the prior.
+POSITIVES, UNLABELLED, HELD_BACK = 8000, 16000, 0.3
 #: Hidden units, passes and seed of the network.
 HIDDEN, EPOCHS, SEED = 24, 60, 3
 #: A document is taken for good at this score.
@@ -52,7 +53,7 @@ def features(text: str | None) -> list[float]:
     upper = sum(map(bytes.isupper, words))
     # bytes.isalnum is for ASCII: the last byte of a word that ends in another letter is over 127
     odd = sum(w[-1] < 128 and not w[-1:].isalnum() and w[-1] not in b".,;:?'\")-" for w in words)
-    top = max(map(words.count, set(words[:3]))) / n if n < 50 else 0.0
+    top = Counter(words).most_common(1)[0][1] / n
     packed = len(zlib.compress(b, 1)) / len(b)
     length = np.log1p(n)
     return [1.0, length, length * length / 10, float(n < 5), float(n < 20), len(b) / n / 10, distinct / n, distinct / n * length, np.log1p(distinct), again / n, upper / n, odd / n, len(lines) / n, len(set(lines)) / len(lines), packed, top, *share[1:].tolist()]
@@ -60,7 +61,7 @@ def features(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Scaling, two layers and the calibration."""
+    """Scaling, two layers and the shift of the score."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -68,7 +69,6 @@ class Model:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
     offset: float = 0.0
 
     def output(self, x: np.ndarray) -> np.ndarray:
@@ -76,39 +76,43 @@ class Model:
         return np.maximum(0, z @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.output(x) + self.offset)
+        return sigmoid(self.output(x) + self.offset)
+
+
+def _mean_loss(par: list[np.ndarray], z: np.ndarray, sign: float) -> tuple[float, list[np.ndarray]]:
+    """Mean sigmoid loss of the network's output * sign, and its gradient."""
+    h = np.maximum(0, z @ par[0] + par[1])
+    g = h @ par[2] + par[3]
+    loss = sigmoid(-sign * g)
+    dg = -sign * loss * (1 - loss) / len(z)
+    dh = np.outer(dg, par[2]) * (h > 0)
+    return float(loss.mean()), [z.T @ dh, dh.sum(axis=0), h.T @ dg, np.array([dg.sum()])]
+
+
+def risk(par: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative unbiased risk and the step's direction: its gradient, or, where the negatives' estimate is below zero, away from that."""
+    lp, gp = _mean_loss(par, p, 1)
+    ln, gn = _mean_loss(par, p, -1)
+    lu, gu = _mean_loss(par, u, -1)
+    if lu - prior * ln >= 0:
+        return prior * lp + lu - prior * ln, [prior * a + c - prior * b for a, b, c in zip(gp, gn, gu, strict=True)]
+    return prior * lp, [prior * b - c for b, c in zip(gn, gu, strict=True)]
 
 
 def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """Minimise the non-negative unbiased risk over positives p and unlabelled u."""
+    """Minimise the risk over positives p and unlabelled u by Adam on small batches."""
     rng = np.random.default_rng(seed)
     mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-6
     d = p.shape[1]
     par = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par], 0
     zp, zu = (np.clip((x - mean) / scale, -6, 6) for x in (p, u))
-
-    def grad(z: np.ndarray, sign: float) -> tuple[float, list[np.ndarray]]:
-        """Mean sigmoid loss of output * sign, and its gradient."""
-        h = np.maximum(0, z @ par[0] + par[1])
-        g = h @ par[2] + par[3]
-        loss = sigmoid(-sign * g)
-        dg = -sign * loss * (1 - loss) / len(z)
-        dh = np.outer(dg, par[2]) * (h > 0)
-        return float(loss.mean()), [z.T @ dh, dh.sum(axis=0), h.T @ dg, np.array([dg.sum()])]
-
     steps = max(1, len(zu) // 256)
     for _ in range(epochs):
         pp, uu = rng.permutation(len(zp)), rng.permutation(len(zu))
         for bp, bu in zip(np.array_split(pp, steps), np.array_split(uu, steps), strict=True):
             bp = bp if len(bp) else pp[:1]
-            _, gp = grad(zp[bp], 1)
-            ln, gn = grad(zp[bp], -1)
-            lu, gu = grad(zu[bu], -1)
-            if lu - prior * ln >= 0:
-                g = [prior * a + c - prior * b for a, b, c in zip(gp, gn, gu, strict=True)]
-            else:  # the estimate of the negatives' risk fell below zero: go back
-                g = [prior * b - c for b, c in zip(gn, gu, strict=True)]
+            _, g = risk(par, zp[bp], zu[bu], prior)
             t += 1
             for i, x in enumerate(g):
                 x = x + 1e-4 * par[i]
@@ -118,17 +122,35 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, seed: int = SEED, epochs:
     return Model(mean, scale, par[0], par[1], par[2], float(par[3][0]))
 
 
-def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit slope and offset of the score by logistic regression (Newton's steps, a little ridge)."""
-    if not len(y) or y.min() == y.max():
-        return model
-    g = np.column_stack([model.output(x), np.ones(len(y))])
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = sigmoid(g @ w)
-        h = (g * (p * (1 - p))[:, None]).T @ g + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(h, g.T @ (p - y) + 1e-3 * (w - [1.0, 0.0]))
-    return Model(**{**model.__dict__, "slope": float(max(w[0], 1e-3)), "offset": float(w[1])})
+def best_bin(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The class prior from scores of held-back positives p and unlabelled u."""
+    at = np.unique(np.concatenate([p, u]))
+    above_p = 1 - np.searchsorted(np.sort(p), at) / len(p)
+    above_u = 1 - np.searchsorted(np.sort(u), at) / len(u)
+    some = above_p > 0
+    above_p, above_u = above_p[some], above_u[some]
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(p))) + np.sqrt(np.log(4 / delta) / (2 * len(u)))
+    i = int(((above_u + (1 + gamma) * slack) / above_p).argmin())
+    return float(np.clip(above_u[i] / above_p[i], 0.01, 0.99))
+
+
+def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from a model of positive against unlabelled; its rows and the held-back ones are disjoint."""
+    np_, nu = int(len(p) * (1 - HELD_BACK)), int(len(u) * (1 - HELD_BACK))
+    if not np_ or not nu:
+        return 0.5
+    rough = fit_pu(p[:np_], u[:nu], 0.5, seed=SEED + 1, epochs=EPOCHS // 2)
+    return best_bin(rough.output(p[np_:]), rough.output(u[nu:]))
+
+
+def shifted(model: Model, u: np.ndarray, prior: float) -> Model:
+    """The model whose mean score over u is the prior."""
+    low, high = -30.0, 30.0
+    g = model.output(u)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sigmoid(g + mid).mean() < prior else (low, mid)
+    return replace(model, offset=(low + high) / 2)
 
 
 def featured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -137,30 +159,29 @@ def featured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return map_rows(docs, {"id": F.col(f"`{id_column}`").cast("long"), "text": F.col(f"`{text_column}`").cast("string")}, lambda b: {"id": b["id"], "x": [features(t) for t in b["text"]]}, schema)
 
 
-def train(rows: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the features of all documents and the labels of the learning fold.
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """The features of up to n distinct rows (id, x), those of least hash: all, if there are no more; fewer where many rows repeat. Little more than n rows move."""
+    total = rows.count()
+    share = min(1.0, (1.05 * n + 5 * n**0.5) / max(1, total))
+    h = F.xxhash64("id", "x", F.lit(SEED))
+    some = rows.where(F.shiftrightunsigned(h, 1).cast("double") <= share * float(1 << 63)) if share < 1 else rows
+    got = some.select("id", "x").distinct().select("x", h.alias("h"), "id").orderBy("h", "id").limit(n).collect()
+    return np.array([r["x"] for r in got])
 
-    The samples are the rows of smallest id hash, up to their bounds; without positives or documents every
-    output is 0, a score of 0.5.
-    """
-    known = learning_labels(labels, "quality")
-    first = F.xxhash64("id", F.lit(SEED))
 
-    def take(df: DataFrame, n: int, *columns: str) -> list:
-        return df.select("x", *columns, first.alias("h"), "id").orderBy("h", "id").limit(n).collect()
+def train(rows: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the features of all documents and the ones among the labels of the learning fold.
 
-    marked = cut(rows.join(known.withColumnRenamed("doc_id", "id"), "id"))
-    positives = np.array([r["x"] for r in take(marked.where("y = 1"), POSITIVES)])
-    unlabelled = np.array([r["x"] for r in take(rows, UNLABELLED)])
+    The samples are distinct rows of smallest hash, up to their bounds; without positives or documents every
+    score is 0.5.
+    """
+    known = learning_labels(labels, "quality").where("y = 1").select(F.col("doc_id").alias("id"))
+    positives = _sample(cut(rows.join(known, "id")), POSITIVES)
+    unlabelled = _sample(rows, UNLABELLED)
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
-    share = marked.agg(F.avg(F.col("y").cast("double"))).first()[0]
-    if share >= 1:  # no zeros: the positives' mean output of a model of positive against unlabelled
-        rough = fit_pu(positives, unlabelled, 0.5)
-        share = float(np.clip(sigmoid(rough.output(unlabelled)).mean() / max(1e-6, sigmoid(rough.output(positives)).mean()), 0.05, 0.98))
-    check = take(marked, CALIBRATION, "y")
-    model = fit_pu(positives, unlabelled, float(np.clip(share, 0.01, 0.99)))
-    return calibrated(model, np.array([r["x"] for r in check]), np.array([float(r["y"]) for r in check]))
+    prior = estimated_prior(positives, unlabelled)
+    return shifted(fit_pu(positives, unlabelled, prior), unlabelled, prior)
 
 
 def score_documents(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -56,6 +56,52 @@ def test_quality_held_out(corpus):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in got]) > 0.95
 
 
+def test_quality_whole_text_share():
+    for n in (49, 50, 400):
+        words = [f"w{i}" for i in range(n)]
+        words[n // 2 :: 3] = ["same"] * len(words[n // 2 :: 3])
+        assert quality.features(" ".join(words))[15] == words.count("same") / n
+
+
+def test_quality_risk_by_definition():
+    rng = np.random.default_rng(1)
+    par = [rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+    p, u = rng.normal(size=(20, 4)), rng.normal(size=(30, 4))
+
+    def direct(par, prior):
+        out = lambda z: np.maximum(0, z @ par[0] + par[1]) @ par[2] + par[3]
+        loss = lambda g: 1 / (1 + np.exp(g))
+        below = np.mean([loss(-g) for g in out(u)]) - prior * np.mean([loss(-g) for g in out(p)])
+        return prior * np.mean([loss(g) for g in out(p)]) + max(0.0, below), below
+
+    seen = set()
+    for prior in (0.2, 0.6, 0.99):
+        value, g = quality.risk(par, p, u, prior)
+        want, below = direct(par, prior)
+        assert abs(value - want) < 1e-12
+        seen.add(below > 0)
+        if below > 0:
+            for i, x in enumerate(par):
+                for k in np.ndindex(x.shape):
+                    near = [y.copy() for y in par]
+                    near[i][k] += 1e-6
+                    assert abs((direct(near, prior)[0] - want) / 1e-6 - g[i][k]) < 1e-4
+    assert True in seen
+
+
+def test_best_bin():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.85):
+        u = np.where(rng.random(4000) < prior, rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000))
+        assert abs(quality.best_bin(rng.normal(2, 1, 2000), u) - prior) < 0.05
+
+
+def test_quality_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(i, [float(i % 1500)]) for i in range(3000)] + [(None, [1.0])] * 3000, "id long, x array<double>")
+    got = quality._sample(rows, 300)
+    assert 100 <= len(got) <= 300 and len(quality._sample(rows, 10_000)) == 3001
+
+
 def test_toxicity_held_out(corpus):
     rows, df, known = corpus
     truth = {r[0]: r[3] for r in rows}
