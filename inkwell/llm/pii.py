@@ -4,8 +4,9 @@ Base spans (e-mail, IP address, payment card, phone) follow fixed patterns and a
 (social-security and bank numbers, national phone numbers, hardware addresses, spelled-out e-mails, names and
 birth dates) come from looser patterns. Labelers of three sorts vote on every candidate, base ones included:
 patterns and check digits, gazetteers, and context words, each for (+), against (-) or silent (0). The counts of vote
-patterns over all documents feed an expectation-maximisation that estimates each labeler's reliability for and
-against; its posteriors, with the counts of feature patterns, train a logistic span classifier. A candidate
+patterns over all documents feed an expectation-maximisation that estimates how often each labeler's votes are
+right (one half at least, so true and false can't change places; the start counts as START_VOTES votes, whatever the
+number of documents); its posteriors, with the counts of feature patterns, train a logistic span classifier. A candidate
 that is no base span becomes one of the method's spans if the classifier gives it THRESHOLD or more and it overlaps
 no base span.
 
@@ -29,7 +30,9 @@ MORE = ("email_words", "ssn", "iban", "phone_national", "mac", "name", "birth_da
 KINDS = BASE + MORE
 #: Characters around a candidate in which context labelers look.
 CONTEXT = 48
-LABELERS, THRESHOLD, ROUNDS = 5, 0.6, 50
+LABELERS, THRESHOLD, ROUNDS = 5, 0.6, 200
+#: Votes that the start counts as, whatever the number of documents; weight of all counted patterns in the classifier.
+START_VOTES, PATTERN_WEIGHT = 20.0, 10_000.0
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,19 +50,20 @@ _LOOSE = {
     "name": re.compile(r"\b(?:(?:Mr|Mrs|Ms|Dr)\.?|[Nn]ame is) ([A-Z][a-z]{1,20} [A-Z][a-z]{1,20})\b"),
     "birth_date": re.compile(r"\b(?:born(?: on)?|birth ?date:?|date of birth:?|dob:?) ([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})\b", re.I),
 }
+#: The usual written form of each kind; looser ones get no vote from the first labeler.
+_STRICT = {
+    "email": re.compile(r".*\.[A-Za-z]{2,24}", re.S), "ip": re.compile(r"(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}"), "card": re.compile(r"[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3}"),
+    "phone": re.compile(r"\+[1-9][0-9]{0,2}[ .-]?\(?[0-9].*", re.S), "email_words": re.compile(r".*[\[(]at[\])].*[\[(]dot[\])].*", re.S), "ssn": re.compile(r"[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}"),
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?"), "phone_national": re.compile(r"\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}"), "mac": re.compile(r"[0-9a-f:]+|[0-9A-F:]+"),
+    "name": re.compile(r"[A-Z][a-z]{2,} [A-Z][a-z]{2,}"), "birth_date": re.compile(r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]"),
+}
 _NEAR = {
     "email": "mail email contact write address", "email_words": "mail email contact write address", "ip": "ip host server client address login", "card": "card visa mastercard payment credit",
     "phone": "phone tel call mobile fax contact", "phone_national": "phone tel call mobile fax contact", "ssn": "ssn social security", "iban": "iban bank account transfer", "mac": "mac hardware device ethernet",
     "name": "name mr mrs ms dr dear", "birth_date": "born birth dob birthday",
 }
-#: Where EM starts: for each labeler P(vote = -1, 0, 1 | false) and P(... | true).
-START = np.array([
-    [[0.02, 0.78, 0.20], [0.02, 0.38, 0.60]],  # strict pattern
-    [[0.60, 0.30, 0.10], [0.10, 0.30, 0.60]],  # check
-    [[0.60, 0.30, 0.10], [0.10, 0.30, 0.60]],  # gazetteer
-    [[0.02, 0.88, 0.10], [0.02, 0.48, 0.50]],  # context for
-    [[0.40, 0.58, 0.02], [0.03, 0.95, 0.02]],  # context against
-])
+#: Where EM starts: how often a vote of each labeler (strict pattern, check, gazetteer, context for, context against) is right.
+START = np.array([0.6, 0.65, 0.75, 0.8, 0.95])
 _NEAR_SETS = {k: set(v.split()) for k, v in _NEAR.items()}
 _AGAINST = set("version isbn part sku serial order item model revision build example page chapter".split())
 _BANK_COUNTRIES = set("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK TR".split())
@@ -150,7 +154,7 @@ def _gazetteer(kind: str, value: str) -> int:
 def votes(kind: str, value: str, around: str) -> tuple[int, ...]:
     """Strict pattern, check, gazetteer, context for, context against."""
     words = set(_WORDS.findall(around.lower()))
-    return 1 if kind in BASE else 0, _check(kind, value), _gazetteer(kind, value), 1 if words & _NEAR_SETS[kind] else 0, -1 if words & _AGAINST else 0
+    return 1 if _STRICT[kind].fullmatch(value) else 0, _check(kind, value), _gazetteer(kind, value), 1 if words & _NEAR_SETS[kind] else 0, -1 if words & _AGAINST else 0
 
 
 def span_features(kind: str, value: str, before: str) -> tuple[int, ...]:
@@ -171,37 +175,36 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """What EM finds: for each kind its share of true spans, for each labeler P(vote | true) and P(vote | false)."""
+    """What EM finds: for each kind its share of true spans, for each labeler the share of its votes that are right."""
 
     prior: dict[int, float]
-    vote: np.ndarray  # labeler, truth, vote + 1
+    right: np.ndarray
 
     def posterior(self, kind: int, v: np.ndarray) -> float:
         p = self.prior.get(kind, 0.5)
-        t = np.log([1 - p, p])
-        for i, x in enumerate(v):
-            t = t + np.log(self.vote[i, :, x + 1])
-        return float(sigmoid(t[1] - t[0]))
+        return float(sigmoid(np.log(p / (1 - p)) + v @ np.log(self.right / (1 - self.right))))
 
 
 def fit_labels(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUNDS) -> LabelModel:
-    """EM over (kind, votes, count); labelers start out a little better than chance."""
-    # the start also weighs as much as half the data, so that true and false can't change places
-    weight = 4 + 0.5 * sum(n for *_, n in patterns)
-    model = LabelModel({}, START)
+    """EM over (kind, votes, count). A silent labeler says nothing; one that votes is right at least half of the time."""
+    if not patterns:
+        return LabelModel({}, START)
+    kinds = sorted({k for k, _, _ in patterns})
+    kind = np.array([kinds.index(k) for k, _, _ in patterns])
+    v = np.array([x for _, x, _ in patterns], dtype=np.float64)
+    n = np.array([float(c) for *_, c in patterns])
+    prior, right = np.full(len(kinds), 0.5), START
     for _ in range(rounds):
-        post = [(k, v, n, model.posterior(k, np.array(v))) for k, v, n in patterns]
-        mass = START * weight
-        sums: dict[int, list[float]] = {}
-        for k, v, n, p in post:
-            s = sums.setdefault(k, [1.0, 2.0])
-            s[0] += n * p
-            s[1] += n
-            for i, x in enumerate(v):
-                mass[i, 1, x + 1] += n * p
-                mass[i, 0, x + 1] += n * (1 - p)
-        model = LabelModel({k: a / b for k, (a, b) in sums.items()}, mass / mass.sum(axis=2, keepdims=True))
-    return model
+        p = sigmoid(np.log(prior / (1 - prior))[kind] + v @ np.log(right / (1 - right)))
+        agree = np.where(v > 0, p[:, None], 1 - p[:, None]) * (v != 0)
+        new = (START * START_VOTES + n @ agree) / (START_VOTES + n @ (v != 0))
+        new = np.clip(new, 0.5, 0.999)
+        prior = (2 + np.bincount(kind, weights=n * p)) / (4 + np.bincount(kind, weights=n))
+        done = np.abs(new - right).max() < 1e-9
+        right = new
+        if done:
+            break
+    return LabelModel(dict(zip(kinds, prior.tolist(), strict=True)), right)
 
 
 def _vector(f: tuple[int, ...], v: tuple[int, ...]) -> np.ndarray:
@@ -243,13 +246,13 @@ def train(counts: dict[str, int]) -> SpanModel:
     for v, f, n in rows:
         by[f[0], v] = by.get((f[0], v), 0) + n
     labels = fit_labels([(k, v, n) for (k, v), n in sorted(by.items())])
-    # One made-up row for each kind and vote of weight 1 holds the classifier to the label model where data are few.
-    some = [((int(k < len(BASE)), c, g, a, b), (k, 1, 1, 1, 0, 0, 0), 1) for k in range(len(KINDS)) for c in (-1, 0, 1) for g in (-1, 0, 1) for a in (0, 1) for b in (-1, 0)]
+    # One made-up row for each kind and vote, of weight 1, holds the classifier to the label model where data are few.
+    some = [((w, c, g, a, b), (k, 1, 1, 1, 0, 0, 0), 1) for k in range(len(KINDS)) for w in (0, 1) for c in (-1, 0, 1) for g in (-1, 0, 1) for a in (0, 1) for b in (-1, 0)]
     data = rows + some
     x = np.array([_vector(f, v) for v, f, _ in data])
-    n = np.array([float(c) for *_, c in data])
+    total = max(1, sum(c for *_, c in rows))
+    n = np.array([c * PATTERN_WEIGHT / total for *_, c in rows] + [1.0] * len(some))
     y = np.array([labels.posterior(f[0], np.array(v)) for v, f, _ in data])
-    n = np.minimum(n, 1000.0)  # weights, so that no frequent pattern drowns the rest
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = sigmoid(x @ w)
