@@ -233,13 +233,72 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(no_docs).count() == 0
 
 
-def test_targets_and_route():
-    t = mixing.targets({"b": 100, "a": 1000, None: 10})
-    assert list(t) != [] and abs(sum(t.values()) - 1110) < 1e-6 and t[None] == 30 and t["b"] == 300 and abs(t["a"] - 780) < 1e-6
+def shared_out(sizes, most=3):
+    """Each source's target by definition."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    w = {s: float(mixing.WEIGHTS[i % 3]) for i, s in enumerate(order)}
+    out, left, free = {}, float(sum(sizes.values())), list(order)
+    while free:
+        total = sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / total > most * sizes[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in free}
+        for s in over:
+            out[s] = float(most * sizes[s])
+        left -= sum(out[s] for s in over)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(2)
+    for sizes in ({"b": 100, "a": 1000, None: 10}, {"x": 5}, {"x": 0, "y": 7}, {f"s{i}é{i % 7}": int(r.paretovariate(0.6)) for i in range(60)} | {None: 3}):
+        got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), float(sum(sizes.values()))).collect()}
+        want = shared_out(sizes)
+        assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_route():
     # one pattern in both sources, one in the first only: the shared one serves the second source
-    given = mixing.route({("x", "y"): 100, ("x",): 100}, {"x": 100, "y": 100})
-    assert given == {("x", "y"): 100, ("x",): 100}
+    assert mixing.route({("x", "y"): 100, ("x",): 100}, {"x": 100, "y": 100}) == {("x", "y"): 100, ("x",): 100}
     assert mixing.route({("x",): 10}, {"x": 30}) == {("x",): 30}
+    r = random.Random(9)
+    for _ in range(150):
+        names = list("abcd")[: r.randint(1, 4)]
+        patterns = {tuple(sorted(r.sample(names, r.randint(1, len(names))))): r.randint(0, 12) for _ in range(r.randint(1, 6))}
+        quotas = {s: r.randint(0, 30) for s in names}
+        flow, copies = mixing._routed(patterns, quotas)
+        given = mixing.route(patterns, quotas)
+        assert all(0 <= given[m] <= 3 * n for m, n in patterns.items())
+        # the flow is maximal: it equals the least cut over all sets of sources
+        least = min(sum(q for s, q in quotas.items() if s not in chosen) + sum(3 * n for m, n in patterns.items() if chosen & set(m)) for chosen in map(set, subsets(names)))
+        assert sum(given.values()) == least
+        # and cheapest: no cycle of negative cost in what room is left
+        cost = [0] * len(flow.to)
+        for m in patterns:
+            for k, c in zip(copies[m], mixing.COPY_COST, strict=True):
+                cost[k], cost[k ^ 1] = c, -c
+        far = [0] * len(flow.out)
+        for _ in range(len(far)):
+            changed = False
+            for k, b in enumerate(flow.to):
+                a = flow.to[k ^ 1]
+                if flow.room[k] and far[a] + cost[k] < far[b]:
+                    far[b], changed = far[a] + cost[k], True
+        assert not changed
+
+
+def subsets(names):
+    return [[n for i, n in enumerate(names) if k >> i & 1] for k in range(1 << len(names))]
+
+
+def test_route_many_patterns():
+    r = random.Random(10)
+    names = [f"s{i}" for i in range(2000)]
+    patterns = {tuple(sorted({r.choice(names), r.choice(names)})): r.randint(1, 50) for _ in range(20_000)}
+    quotas = {s: r.randint(0, 2000) for s in names}
+    given = mixing.route(patterns, quotas)
+    assert all(0 <= given[m] <= 3 * n for m, n in patterns.items()) and sum(given.values()) <= sum(quotas.values())
 
 
 def test_mix(docs, no_docs, spark):
@@ -254,6 +313,19 @@ def test_mix(docs, no_docs, spark):
     assert all(abs(sum(v) - k[1]) <= 1 for k, v in by.items())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(no_docs).count() == 0
+    # row by row: repeated rows (7 "one two") and the null id have a place of their own in the seeded order
+    kinds = sorted(((r["doc_id"], r["size"]) for r in got), key=str)
+    assert kinds == sorted(((i, size(t)) for i, t, _ in ROWS), key=str)
+    sizes = {}
+    for i, t, s in ROWS:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    want = shared_out(sizes)
+    assert sorted({(round(r["target"], 6), r["source_size"]) for r in got}) == sorted({(round(want[s], 6), sizes[s]) for s in sizes})
+    two = spark.createDataFrame([(i, " ".join("abcdefgh"[: i % 9]), ["x", "y"] if i % 3 else ["z"] if i % 2 else [None]) for i in range(200)], "doc_id long, text string, m array<string>")
+    mixed = mixing.mix(two, memberships="m").collect()
+    assert all(r["taken"] <= 3 * r["size"] for r in mixed) and abs(sum(r["taken"] for r in mixed) - sum(r["size"] for r in mixed)) <= 4
+    wide = mixing.mix(spark.createDataFrame([(i, "a b c", f"site{i}") for i in range(3000)], "doc_id long, text string, source string"))
+    assert wide.agg({"taken": "sum"}).first()[0] == 9000
     many = spark.createDataFrame([(i, "a b c d", ["x", "y"] if i % 2 else ["x"]) for i in range(40)] + [(99, "q", None)], "doc_id long, text string, m array<string>")
     out = {r["doc_id"]: r["taken"] for r in mixing.mix(many, memberships="m").collect()}
     assert out[99] == 0 and sum(out.values()) == 160
