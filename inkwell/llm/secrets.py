@@ -25,12 +25,16 @@ from inkwell.llm.common import map_rows
 
 #: Trees, depth and seed of the forest; findings that are generated; probability from which a finding counts.
 TREES, DEPTH, SEED, GENERATED, THRESHOLD = 40, 9, 17, 4000, 0.5
+#: Characters in front of a candidate in which its neighbouring words and path are looked for.
+CONTEXT = 80
 
 _NAMES = r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key"
-_CANDIDATE = re.compile(
-    rf"(?i:\b[a-z0-9_.-]*(?:{_NAMES})[a-z0-9_-]*[\"']?\s*(?::=|=>|=|:)\s*)(?P<assigned>\"[^\"\s]{{6,}}+\"|'[^'\s]{{6,}}+'|[^\s\"',;]{{6,}}+)"
-    r"|(?<![A-Za-z0-9+/_=-])(?P<bare>[A-Za-z0-9+/_=-]{16,}+)"
-)
+#: A name with what sets its value, each run of name characters read once; the value; a token that stands alone. All are linear in the text.
+_SETS = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[\"']?\s*+(?::=|=>|=|:)\s*+")
+_NAMED = re.compile(rf"(?i:{_NAMES})")
+_VALUE = re.compile(r"\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"',;]{6,}+")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+_PATH = re.compile(r"(?:[A-Za-z0-9_.-]++/)++[A-Za-z0-9_-]++\.[A-Za-z0-9]{1,10}|[A-Za-z0-9_-]++\.(?:env|pem|cfg|ini|ya?ml|json|properties|py|md|txt)\b")
 _PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-)")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 # Frequent words and letter pairs of prose and code.
@@ -66,28 +70,51 @@ def features(value: str, before: str, path: str, assigned: bool) -> list[float]:
     ]
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, value, text before, assigned) of each candidate, left to right."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        if m.group("assigned") is not None:
-            start, end = m.span("assigned")
-            if text[start] in "\"'":
-                start, end = start + 1, end - 1
-            else:
-                end = start + len(text[start:end].rstrip(".)]}"))
-            assigned = True
-        else:
-            start, end = m.span("bare")
-            assigned = False
-        value = text[start:end]
-        if len(value) < 6 or not assigned and not (_DIGIT.search(value) and _LETTER.search(value)):
+def _assigned(text: str) -> list[tuple[int, int, int]]:
+    """(start of the name, start, end) of the values assigned to telling names, left to right, none within another."""
+    out, floor = [], 0
+    for m in _SETS.finditer(text):
+        # the part behind the last dot is the name, as in settings.api_key
+        if m.start() < floor or not _NAMED.search(m.group(1).rsplit(".", 1)[-1]):
             continue
-        # the name of an assigned value counts among the words before it
-        out.append((start, end, value, text[max(0, start - 60) : start], assigned))
+        v = _VALUE.match(text, m.end())
+        if not v:
+            continue
+        start, end = v.span()
+        if text[start] in "\"'":
+            start, end = start + 1, end - 1
+        else:
+            end = start + len(text[start:end].rstrip(".)]}"))
+        floor = v.end()
+        if end - start >= 6:
+            out.append((m.start(), start, end))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """(start, end, value, text before, assigned) of each candidate, left to right.
+
+    The text before is the CONTEXT characters in front; the name of an assigned value counts among its words.
+    """
+    named = _assigned(text)
+    out = [(s, e, text[s:e], text[max(0, s - CONTEXT) : s], True) for _, s, e in named]
+    at = 0
+    for m in _BARE.finditer(text):
+        s, e = m.span()
+        while at < len(named) and named[at][2] <= s:
+            at += 1
+        if at < len(named) and named[at][0] < e:
+            continue  # part of an assignment
+        if _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
+            out.append((s, e, text[s:e], text[max(0, s - CONTEXT) : s], False))
+    return sorted(out)
+
+
+def path_before(before: str) -> str:
+    """The last file path in the text before a candidate, for texts without a path of their own."""
+    return (_PATH.findall(before) or [""])[-1]
+
+
 def generated_findings(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, str, str, int]]:
     """Labelled findings (text before, value, path, is_secret) made from key formats and look-alikes."""
     r = random.Random(seed)
@@ -206,6 +233,7 @@ def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_candidates, n_secrets, max_score, spans (start:end of the secrets in code points, comma-joined) for each row.
 
+    The path is that of path_column or, without one, the last one named in front of a candidate.
     A null or empty text has no candidates and a max_score of 0; a null id stays null; repeated rows are scanned
     each; an empty table gives an empty one; other columns are ignored.
     """
@@ -214,7 +242,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def run(b: dict[str, list]) -> dict[str, list]:
         found = [candidates(t or "") for t in b["text"]]
-        flat = [features(v, before, path or "", a) for cs, path in zip(found, b["path"], strict=True) for _, _, v, before, a in cs]
+        flat = [features(v, before, path or path_before(before), a) for cs, path in zip(found, b["path"], strict=True) for _, _, v, before, a in cs]
         p = forest.probability(np.array(flat)) if flat else np.empty(0)
         out: dict[str, list] = {"doc_id": b["id"], "n_candidates": [len(c) for c in found], "n_secrets": [], "max_score": [], "spans": []}
         at = 0

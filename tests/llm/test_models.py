@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -223,6 +224,89 @@ def test_long_secrets():
             assert forest.probability(np.array([secrets.features(found[2], found[3], "", found[4])]))[0] >= secrets.THRESHOLD
 
 
+def test_secrets_in_linear_time():
+    start = time.monotonic()
+    for text in ("a-" * 100_000, "token" * 60_000, "=a" * 100_000, "a='" * 60_000, "key: " * 60_000, "password=" * 40_000, '"' * 200_000, "x" * 300_000, "a" + " " * 200_000 + "b", "a/" * 100_000, "token=" + "aB3" * 700):
+        secrets.candidates(text)
+    assert time.monotonic() - start < 10
+    (found,) = secrets.candidates("token=" + "aB3" * 1700)
+    assert found[:2] == (6, 5106)
+
+
+def naive_candidates(text):
+    """Values and lone tokens by definition, word by word."""
+    out, taken = [], []
+    for i in range(len(text)):
+        if i and (text[i - 1].isalnum() and text[i - 1].isascii() or text[i - 1] in "_.-"):
+            continue
+        m = re.match(r"([A-Za-z0-9_.-]+)[\"']?\s*(:=|=>|=|:)\s*", text[i:])
+        if not m or any(i < e for _, e in taken) or not re.search(secrets._NAMES, m.group(1).split(".")[-1], re.I):
+            continue
+        v = re.match("\"[^\"\\s]{6,}\"|'[^'\\s]{6,}'|[^\\s\"',;]{6,}", text[i + m.end() :])
+        if not v:
+            continue
+        s, e = i + m.end(), i + m.end() + v.end()
+        taken.append((i, e))
+        value = v.group()[1:-1] if v.group()[0] in "\"'" else v.group().rstrip(".)]}")
+        s += v.group()[0] in "\"'"
+        if len(value) >= 6:
+            out.append((s, s + len(value), value, True))
+    named = [(i, s, e) for (i, _), (s, e) in zip(taken, [x[:2] for x in out], strict=False)] if len(taken) == len(out) else None
+    if named is None:
+        return None
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        s, e = m.span()
+        if e - s >= 16 and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and not any(i < e and s < z for i, _, z in named):
+            out.append((s, e, m.group(), False))
+    return sorted(out)
+
+
+def test_secret_candidates_by_definition():
+    r = random.Random(21)
+    parts = ["token", "my_", "password", ".", "=", ": ", " := ", '"', "'", " ", "abc123", "Zz9/+aB3", "xx-yy-77", "é", "\n", ";", "api-key", "commit "]
+    compared = 0
+    for _ in range(6000):
+        text = "".join(r.choices(parts, k=r.randint(1, 14)))
+        want = naive_candidates(text)
+        if want is not None:
+            compared += 1
+            assert [(s, e, v, a) for s, e, v, _, a in secrets.candidates(text)] == want, text
+    assert compared > 5000
+
+
+def test_forest_by_definition():
+    """Each tree followed node by node gives the forest's probability, and each split parts its rows as it says."""
+    findings = secrets.generated_findings(600, seed=5)
+    x = np.array([secrets.features(v, b, p, "=" in b[-4:] or ":" in b[-4:]) for b, v, p, _ in findings])
+    y = np.array([float(f[3]) for f in findings])
+    forest = secrets.fit_forest(x, y, trees=7, depth=5)
+    for row, got in zip(x, forest.probability(x), strict=True):
+        total = 0.0
+        for feature, threshold, left, right, p in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= threshold[at] else right[at]
+            total += p[at]
+        assert abs(total / 7 - got) < 1e-12
+    best = min((len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())) / len(y) for c in range(x.shape[1]) for t in np.unique(x[:, c])[:-1] for a, b in [(y[x[:, c] <= t], y[x[:, c] > t])])
+    assert abs(secrets._split(x, y, np.arange(x.shape[1]))[0] - best) < 1e-9
+
+
+def test_secrets_precision_and_recall():
+    findings = secrets.generated_findings(1500, seed=123)
+    forest = secrets.train()
+    hit = [forest.probability(np.array([secrets.features(v, b, p, "=" in b[-4:] or ":" in b[-4:])]))[0] >= secrets.THRESHOLD for b, v, p, _ in findings]
+    true = [bool(f[3]) for f in findings]
+    both = sum(a and b for a, b in zip(hit, true, strict=True))
+    assert both / sum(hit) > 0.95 and both / sum(true) > 0.95
+
+
+def test_secrets_path_changes_features():
+    a = secrets.features("abcdef0123456789abcd", "in docs/example.md token ", "", False)
+    b = secrets.features("abcdef0123456789abcd", "", secrets.path_before("in docs/example.md token "), False)
+    assert a[15] == 0.0 and b[15] == 1.0 and secrets.path_before("see config/prod.env: ") == "config/prod.env"
+
+
 def test_licenses(spark, docs, no_docs):
     s = licenses.Scanner()
     mit = "MIT License\n\nCopyright (c) 2020 Me\n\n" + licenses.SENTENCES["mit-grant"].replace("restriction, ", "restriction,\n") + ":\n\n" + licenses.SENTENCES["mit-notice"] + ".\n\n" + licenses.SENTENCES["mit-as-is"] + "."
