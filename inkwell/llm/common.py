@@ -21,30 +21,46 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one (tests) gets its own."""
+    """Use the cluster's shared checkpoint folder; only a local session without one (tests) gets its own."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         given = tempfile.mkdtemp(prefix="inkwell-checkpoint-")
     spark.sparkContext.setCheckpointDir(given)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: the lineage ends, a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files and checkpoints of finished steps now; else they stay until the driver happens to collect its garbage."""
-    import gc
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there: the lineage ends, a lost executor costs nothing.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Its shuffle files go as soon as it is written; the session's own setting for that comes back.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame keeps the setting that it was made under
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames from `cut` that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def apart(df: DataFrame) -> DataFrame:

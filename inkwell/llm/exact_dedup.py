@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import apart, cut, map_rows, packed, sweep
+from inkwell.llm.common import apart, cut, drop, map_rows, packed
 
 #: Primes below 2^31 and bases of the four lanes.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.int64)
@@ -153,11 +153,12 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         for c in moved[1:]:
             on = on & c
         flag = prints.alias("p").join(unlike.withColumn("hit", F.lit(1)).alias("u"), on, "left")
+        old = prints
         prints = cut(flag.select("p.id", "p.text_sha256", *(f"p.{c}" for c in _KEY), "p.copies", (F.col("p.turn") + F.coalesce("u.hit", F.lit(0))).alias("turn")))
+        drop(old)
         last = prints.agg(F.max("turn")).first()[0]
         todo = prints.where(F.col("turn") == last)
 
-    sweep(docs.sparkSession)
     sizes = apart(prints.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")))
     rows = prints.join(sizes, key).select("id", "text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     # rows without any id: one of the group's copies is kept; equal texts have one row in prints for each id

@@ -3,13 +3,16 @@
 1. One pass makes each text's set of 64-bit shingle hashes, BANDS x ROWS MinHash samples, the band keys and an
    odd sketch: each sample toggles a bit of a bitmap, so the XOR of two bitmaps has about as many ones as the
    samples that differ, and its population count estimates a high Jaccard similarity closely.
-2. Documents with equal sets are one class (one node), however many copies there are.
+2. Documents with equal sets (by size and a 128-bit hash) are one class (one node), however many copies there are.
 3. Classes meet in band buckets; buckets with the same members count once. In a bucket, pairs whose XOR
-   population count is at most MAX_XOR connect; a bucket hands on a spanning forest, never the pairs.
-4. The components of those edges are the candidate clusters. Each cluster is verified on the full sets: exact
-   intersections of all its pairs by counting, in one task or, for large clusters, in tasks of two blocks.
-   They hand on spanning edges of the true links.
-5. The components of the true links give component_id.
+   population count is at most MAX_XOR connect; a bucket hands on a spanning forest and, for each class, one class
+   that is like it, never the pairs. A large bucket is dealt to blocks twice, by two hashes.
+4. Those single pairs are verified on the full sets, a class with up to a block of its partners in a task. The
+   true links make components: of a group of alike copies, this settles all in work that is linear in their number.
+5. What is left are classes that are alike by sketch, but in several components. Only for them all pairs across
+   components count: first the sketches of large buckets whose members are not all in one component, then the exact
+   intersections within each cluster of components. Members of a group's heaviest component meet only the others.
+6. The components of all true links give component_id.
 
 At similarity 0.85 a pair misses all bands with probability (1 - 0.85^ROWS)^BANDS = 7e-10, at 0.8 with 6e-7, and
 the sketch filter with less than 1e-8. No cap on buckets, clusters or partners.
@@ -17,6 +20,7 @@ the sketch filter with less than 1e-8. No cap on buckets, clusters or partners.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import apart, cut, held, map_rows, release
+from inkwell.llm.common import apart, cut, drop, held, map_rows, release
 from inkwell.llm.components import connected_components
 
 #: Words in a shingle; bands and rows of the MinHash table; bits of the odd sketch; most ones in an XOR that pass.
@@ -100,11 +104,11 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _signed(bands), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _node(hashes: np.ndarray) -> int:
-    """The identity of a set: a hash of its sorted hashes."""
+def _identity(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set's sorted hashes."""
     import xxhash
 
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
@@ -143,25 +147,56 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which sketches of a and b differ in MAX_XOR bits at most."""
+    ok = np.zeros((len(a), len(b)), dtype=bool)
+    for at in range(0, len(a), 64):
+        ok[at : at + 64] = np.bitwise_count(a[at : at + 64, None] ^ b[None]).sum(axis=2, dtype=np.int32) <= MAX_XOR
+    return ok
+
+
+def _sketches(g: pd.DataFrame) -> np.ndarray:
+    return np.stack(g["sketch"].to_numpy()).view(np.uint64)
+
+
 def _bucket_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning edges of a bucket's sketch-similar pairs."""
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
-    for g in _groups(batches, ["key", "i", "j"]):
+    """u, v, w: for each class v of a bucket that is alike to others the least class u of its part of the forest and the least alike class w below it (-1: none)."""
+    out: list[np.ndarray] = []
+    for g in _groups(batches, ["key", "i"]):
         node = g["node"].to_numpy()
-        sk = np.stack(g["sketch"].to_numpy()).view(np.uint64)
-        ok = np.zeros((len(node), len(node)), dtype=bool)
-        for at in range(0, len(node), 64):
-            ok[at : at + 64] = np.bitwise_count(sk[at : at + 64, None] ^ sk[None]).sum(axis=2, dtype=np.int32) <= MAX_XOR
+        sk = _sketches(g)
+        ok = _alike(sk, sk)
         label = _forest(ok)
-        diff = label != np.arange(len(node))
-        us.append(node[diff])
-        vs.append(node[label[diff]])
-        if len(us) >= 2000:
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-            us, vs = [], []
-    if us:
-        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        first = ok.argmax(axis=1)  # the sketch of a class is alike to itself
+        some = np.flatnonzero(label != np.arange(len(node)))
+        out.append(np.stack([node[label[some]], node[some], np.where(first[some] < some, node[first[some]], -1)], axis=1))
+        if len(out) >= 2000:
+            yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "w"])
+            out = []
+    if out:
+        yield pd.DataFrame(np.concatenate(out), columns=["u", "v", "w"])
+    release()
+
+
+def _across(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """u, v: spanning edges between the components a of the rows and b of the columns of a matrix of links."""
+    names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = np.nonzero(linked)
+    both = np.zeros((len(names), len(names)), dtype=bool)
+    both[index[: len(a)][i], index[len(a) :][j]] = True
+    label = _forest(both | both.T)
+    some = np.flatnonzero(label != np.arange(len(names)))
+    return pd.DataFrame({"u": names[some], "v": names[label[some]]})
+
+
+def _cross_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spanning edges between the components of a bucket's block, for its sketch-similar pairs of two components."""
+    for g in _groups(batches, ["group", "i", "j"]):
+        a, b = g[g["probe"]], g[~g["probe"]]
+        if len(a) and len(b):
+            ok = _alike(_sketches(a), _sketches(b)) & (a["comp"].to_numpy()[:, None] != b["comp"].to_numpy()[None])
+            if ok.any():
+                yield _across(ok, a["comp"].to_numpy(), b["comp"].to_numpy())
     release()
 
 
@@ -197,35 +232,68 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verifier(percent: int, width: int):
+def _star_verifier(percent: int, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """u, v: the true links of a class u with its partners v."""
+        for g in _groups(batches, ["u", "i"]):
+            hub = g["node"].to_numpy() == g["u"].to_numpy()
+            if hub.all() or not hub.any():
+                continue
+            center = shingle_hashes(g["text"].to_numpy()[hub][0], width)
+            hits = []
+            for node, text in zip(g["node"].to_numpy()[~hub], g["text"].to_numpy()[~hub], strict=True):
+                s = shingle_hashes(text, width)
+                at = np.minimum(np.searchsorted(center, s), len(center) - 1)
+                both = int((center[at] == s).sum())
+                if 100 * both >= percent * (len(center) + len(s) - both):
+                    hits.append(node)
+            if hits:
+                yield pd.DataFrame({"u": np.full(len(hits), g["u"].iloc[0]), "v": np.array(hits)})
+        release()
+
+    return run
+
+
+def _cross_verifier(percent: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "i", "j"]):
-            sets: dict[int, np.ndarray] = {}
-            for node, text in zip(g["node"], g["text"], strict=True):
-                if node not in sets and _node(s := shingle_hashes(text, width)) == node:
-                    sets[node] = s
-            nodes = np.array(sorted(sets), dtype=np.int64)
-            if len(nodes) < 2:
+        """Spanning edges between components, for the true links of a block's classes of two components."""
+        for g in _groups(batches, ["group", "i", "j"]):
+            probe, comp, node = g["probe"].to_numpy(), g["comp"].to_numpy(), g["node"].to_numpy()
+            if not probe.any() or probe.all():
                 continue
-            have = [sets[n] for n in nodes.tolist()]
+            names, first = np.unique(node, return_index=True)
+            place = np.searchsorted(names, node)
+            have = [shingle_hashes(t, width) for t in g["text"].to_numpy()[first]]
             size = np.array([len(s) for s in have])
             both = common_counts(have)
-            label = _forest(100 * both >= percent * (size[:, None] + size[None] - both))
-            diff = label != np.arange(len(nodes))
-            if diff.any():
-                yield pd.DataFrame({"u": nodes[diff], "v": nodes[label[diff]]})
+            linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+            ok = linked[np.ix_(place[probe], place[~probe])] & (comp[probe][:, None] != comp[~probe][None])
+            if ok.any():
+                yield _across(ok, comp[probe], comp[~probe])
         release()
 
     return run
 
 
-def _in_blocks(df: DataFrame, parts: str, hashed: str) -> DataFrame:
-    """Deal a group's rows to the tasks of its pairs of blocks: i <= j, a row of block k is in every pair that has k."""
-    k = F.pmod(F.xxhash64(hashed, F.lit(3)), F.col(parts)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda x: F.struct(F.least(x, F.col("_k")).alias("i"), F.greatest(x, F.col("_k")).alias("j")))
-    dealt = df.withColumn("_k", k).withColumn("_p", F.explode(pairs)).withColumn("i", F.col("_p.i")).withColumn("j", F.col("_p.j"))
-    # with several blocks the pairs of two different ones hold those within a block as well
-    return dealt.where((F.col(parts) == 1) | (F.col("i") < F.col("j"))).drop("_k", "_p", parts)
+def _dealt_across(rows: DataFrame) -> DataFrame:
+    """Deal rows (group, node, comp, weight, ...) so that each two classes of a group that differ in comp meet in a task (group, i, j).
+
+    A block is as many rows as weigh 1. Groups of one comp get no tasks. Of the others, all rows are dealt to blocks i and those
+    of all but the heaviest comp (`probe`) to blocks j as well; a task gets a block of each.
+    """
+    comps = rows.groupBy("group", "comp").agg(F.sum("weight").alias("weight"))
+    tops = comps.groupBy("group").agg(F.max(F.struct("weight", "comp")).alias("top"), F.sum("weight").alias("all"), F.count("*").alias("n")).where("n > 1")
+    tops = tops.select("group", F.col("top.comp").alias("top"), F.ceil("all").cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("top.weight"))).cast("int").alias("probes"))
+    joined = rows.join(apart(tops), "group")
+    i, j = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("probes")).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("probes") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(False).alias("probe")))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(True).alias("probe")))
+    every = F.when(F.col("comp") == F.col("top"), tasks).otherwise(F.concat(tasks, other))
+    return joined.drop("weight", "all").withColumn("t", F.explode(every)).drop("top", "blocks", "probes").select("*", "t.i", "t.j", "t.probe").drop("t")
+
+
+def _tasks(df: DataFrame, *key: str) -> DataFrame:
+    return df.repartition(*key).sortWithinPartitions(*key, "node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -240,44 +308,76 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     """
     if percent < 80:
         raise ValueError("the bands and the sketch filter are set for percent >= 80")
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    text = F.col(f"`{text_column}`").cast("string")
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def sign(b: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": b["id"], "n": [], "node": [], "bands": [], "sketch": []}
+        out: dict[str, list] = {f.name: [] for f in schema} | {"id": b["id"], "h": b["h"]}
         for t in b["text"]:
             s = shingle_hashes(t, width)
-            bands, sketch = signature(s) if len(s) else (None, None)
-            out["n"].append(len(s))
-            out["node"].append(_node(s) if len(s) else None)
-            out["bands"].append(bands)
-            out["sketch"].append(sketch)
+            (x, y), (bands, sketch) = (_identity(s), signature(s)) if len(s) else ((None, None), (None, None))
+            for name, value in (("n", len(s)), ("a", x), ("b", y), ("bands", bands), ("sketch", sketch)):
+                out[name].append(value)
         return out
 
-    signed = cut(map_rows(source, {"id": "id", "text": "text"}, sign, schema))
-    classes = cut(signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    signed = cut(map_rows(source, {"id": "id", "h": "h", "text": "text"}, sign, schema))
+    # the classes are written at once, so their numbers stay
+    same = ["n", "a", "b"]
+    classes = signed.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min(F.struct("id", "h")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
     # A band key holds its band's number, so keys of different bands do not meet.
     rows = classes.select("node", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s1"), F.min("node").alias("s2")).where("m > 1")
     buckets = buckets.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("parts"))
-    members = rows.join(buckets, "key").join(classes.select("node", "sketch"), "node")
-    dealt = _in_blocks(members, "parts", "node").select("key", "i", "j", "node", "sketch")
-    near = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(_bucket_edges, "u bigint, v bigint")
-    clusters = cut(connected_components(near))
-
-    sized = clusters.join(classes.select("node", "id", "n"), "node")
-    weight = apart(sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("parts")))
-    wanted = sized.join(weight, "component").select(F.col("id").alias("want"), "node", F.col("component").alias("cluster"), "parts")
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("cluster", "node", "parts", "text")
-    dealt = _in_blocks(texts, "parts", "node").select("cluster", "i", "j", "node", "text")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(_verifier(percent, width), "u bigint, v bigint")
+    members = cut(rows.join(buckets, "key").join(classes.select("node", "sketch"), "node"))
+    block = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int")
+    twice = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array(block(3), F.col("parts") + block(4)))
+    near = cut(_tasks(members.select("key", F.explode(twice).alias("i"), "node", "sketch"), "key", "i").mapInPandas(_bucket_edges, "u bigint, v bigint, w bigint").distinct())
+
+    # the texts of all classes that are alike to others: one row of those with the class's id and text
+    k = lambda i: (F.coalesce(i, F.lit(0)), i.isNull())
+    some = near.select(F.explode(F.array("u", "v", "w")).alias("node")).where("node >= 0").distinct()
+    (k1, k2), (o1, o2) = k(F.col("id")), k(F.col("one.id"))
+    weight = F.greatest(F.lit(1.0 / CLUSTER_BLOCK), F.col("n") / CLUSTER_SHINGLES).alias("weight")
+    wanted = classes.join(some, "node").select("node", weight, o1.alias("k1"), o2.alias("k2"), F.col("one.h").alias("h"))
+    texts = source.select(k1.alias("k1"), k2.alias("k2"), "h", "text").groupBy("k1", "k2", "h").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(wanted, ["k1", "k2", "h"]).select("node", "weight", "text"))
+
+    # one pair for each class
+    pairs = near.where("w >= 0").groupBy("v").agg(F.min("w").alias("u")).join(texts.select(F.col("node").alias("v"), "weight"), "v")
+    hubs = pairs.groupBy("u").agg(F.ceil(F.sum("weight")).cast("int").alias("parts"))
+    stars = pairs.join(apart(hubs), "u").select("u", F.pmod(F.xxhash64("v", F.lit(3)), F.col("parts")).cast("int").alias("i"), F.col("v").alias("node"))
+    stars = stars.unionByName(hubs.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("u").alias("node")))
+    links = _tasks(stars.join(texts.drop("weight"), "node"), "u", "i").mapInPandas(_star_verifier(percent, width), "u bigint, v bigint")
     linked = cut(connected_components(links))
 
-    own = classes.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    def in_comps(df: DataFrame, *names: str) -> DataFrame:
+        """df with each node replaced by its component."""
+        for name in names:
+            df = df.join(linked.select(F.col("node").alias(name), F.col("component").alias("_c")), name, "left").withColumn(name, F.coalesce("_c", name)).drop("_c")
+        return df
+
+    # clusters of components that may still be linked
+    open_ = in_comps(near.select("u", "v"), "u", "v").where("u <> v").distinct()
+    large = members.where("parts > 1").select(F.col("key").alias("group"), "node", "sketch", F.col("node").alias("comp"), F.lit(1.0 / BUCKET_BLOCK).alias("weight"))
+    if not large.isEmpty():
+        across = _tasks(_dealt_across(in_comps(large, "comp")), "group", "i", "j").mapInPandas(_cross_edges, "u bigint, v bigint")
+        open_ = open_.unionByName(across)
+    clusters = cut(connected_components(open_))
+    own = in_comps(texts.select("node", "weight", F.col("node").alias("comp")), "comp")
+    own = own.join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("group")), "comp")
+    rest = _dealt_across(own).join(texts.drop("weight"), "node")
+    more = cut(_tasks(rest, "group", "i", "j").mapInPandas(_cross_verifier(percent, width), "u bigint, v bigint"))
+    drop(members, near, texts)
+    joined = cut(connected_components(more))
+
+    own = in_comps(classes.select(*same, "id", F.col("node").alias("component")), "component")
+    own = own.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_j")), "component", "left").withColumn("component", F.coalesce("_j", "component"))
     least = apart(own.groupBy("component").agg(F.min("id").alias("component_id")))
-    final = own.join(least, "component").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(final, "node", "left")
+    final = own.join(least, "component").select(*same, "component_id")
+    out = signed.select("id", *same).join(final, same, "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("id").isNull(), component.isNull()).otherwise(F.col("id") == component).alias("kept"))
 

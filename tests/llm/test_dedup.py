@@ -96,14 +96,44 @@ def test_near_against_brute_force(spark, percent, monkeypatch):
 
 def test_near_edges(docs, no_docs):
     got = near_dedup.near_duplicates(docs).collect()
-    rows = [(i, t) for i, t, _ in ROWS if i != 8]
-    assert sorted(((x[0], x[1], x[2]) for x in got if x[0] != 8), key=str) == sorted(brute(rows, 85), key=str)
-    assert len(got) == len(ROWS)
+    assert sorted(((x[0], x[1], x[2]) for x in got), key=str) == sorted(brute([(i, t) for i, t, _ in ROWS], 85), key=str)
     assert near_dedup.near_duplicates(no_docs).count() == 0
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(docs, 50)
 
 
+def test_near_repeated_ids(spark):
+    """Rows of one id, and of null, with texts of several components."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:-1], f"z{k}"])
+    rows = [(5, near(0)), (5, "quite another text of more than five words"), (5, near(1)), (None, near(2)), (None, "quite another text of more than five words"), (3, "a third text that stands alone in here"), (None, "a fourth text that stands alone in here"), (9, near(3))] + [(5, near(0))] * 3
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x[0], x[1], x[2]) for x in got), key=str) == sorted(brute(rows, 85), key=str)
+
+
+def test_near_large_groups(spark, monkeypatch):
+    """A hub with many variants, a chain, and a group whose least text is alike, but linked only by way of others."""
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:-1], f"v{i}"])) for i in range(150)]  # all alike
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(60):  # each like its neighbours, not like those further on
+        chain[(i * 3) % 100] = f"d{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    below = [f"b{i}" for i in range(90)]
+    for i in range(60):  # pairs about the limit, many below
+        t = list(below)
+        for _ in range(2):
+            t[r.randrange(90)] = f"e{r.randrange(50)}"
+        rows.append((2000 + i, " ".join(t)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 85)
+    assert sorted((x[0], x[1], x[2]) for x in got) == sorted(want)
+    assert 3 < len({c for *_, c in want}) < 200
+
+
 def test_common_counts():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
