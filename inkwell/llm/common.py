@@ -170,3 +170,13 @@ def filter_rows(df: DataFrame, columns: dict[str, str | Column], keep: Callable[
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """df's columns as one column `row`, beside the given ones, whose names then can't clash with df's."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def one_of_each(df: DataFrame, **keys: Column) -> DataFrame:
+    """The keys and, packed as `row`, one row of df for each of their values; equal ones meet in the tasks that read them, before any shuffle."""
+    return packed(df, **keys).groupBy(*keys).agg(F.first("row").alias("row"))
+
+
+def id_keys(doc_id: Column) -> tuple[Column, Column]:
+    """Two columns without nulls that are equal where ids are, null among them."""
+    return F.coalesce(doc_id, F.lit(0)), doc_id.isNull()

@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from inkwell.llm.common import apart, cut, drop, map_rows, packed
+from inkwell.llm.common import apart, cut, drop, id_keys, map_rows, one_of_each
 
 #: Primes below 2^31 and bases of the four lanes.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.int64)
@@ -169,15 +168,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that exact_duplicates keeps; of repeated rows one."""
     sha = F.sha2(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), 256)
-    kept = decisions.where("kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"))
-    # plain equalities, so that the window below is dealt as the join is
-    key = lambda i: (F.coalesce(i, F.lit(0)), i.isNull())
-    k1, k2 = key(F.col(f"`{id_column}`").cast("long"))
-    rows = packed(docs, own_id=k1, own_null=k2, own_sha=sha)
-    k1, k2 = key(F.col("_id"))
-    found = rows.join(kept.select(k1.alias("own_id"), k2.alias("own_null"), F.col("_sha").alias("own_sha")), ["own_id", "own_null", "own_sha"])
-    w = Window.partitionBy("own_id", "own_null", "own_sha").orderBy(F.lit(1))
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("row.*")
+    k1, k2 = id_keys(F.col(f"`{id_column}`").cast("long"))
+    rows = one_of_each(docs, own_id=k1, own_null=k2, own_sha=sha)
+    k1, k2 = id_keys(F.col(id_column))
+    kept = decisions.where("kept").select(k1.alias("own_id"), k2.alias("own_null"), F.col("text_sha256").alias("own_sha"))
+    return rows.join(kept, ["own_id", "own_null", "own_sha"], "left_semi").select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

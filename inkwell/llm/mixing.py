@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut
+from inkwell.llm.common import cut, id_keys, one_of_each
 from inkwell.llm.components import connected_components
 
 #: Most copies of a document; hash buckets of the seeded order.
@@ -148,18 +148,19 @@ def targets(sources: DataFrame, total: float, most: int = MAX_COPIES) -> DataFra
 
 
 def mix(docs: DataFrame, memberships: str | None = None, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = SEED) -> DataFrame:
-    """The id, size, source_size, target and taken of each row of docs.
+    """The id, size, source_size, target, taken and text_hash of each row of docs.
 
     size: runs of other than ASCII white space in the text (null: 0). Each document belongs to its source (null
     is a source of its own, the last) or, with `memberships`, to the sources in that array column (the values
     source_size and target are then those of its first source in code-point order; no source: nothing is taken).
     taken: words the mix takes, at most 3 times the size. Repeated rows count each; a null id is allowed; empty
-    texts take 0; an empty table gives an empty one. The seeded order depends on id and size only, so reruns agree.
+    texts take 0; an empty table gives an empty one. The seeded order depends on id and text only, so reruns agree.
     """
     source = F.col(f"`{source_column}`").cast("string") if memberships is None else None
     pattern = F.array(source) if memberships is None else F.array_sort(F.array_distinct(F.coalesce(F.col(f"`{memberships}`").cast("array<string>"), F.array().cast("array<string>"))))
-    size = F.coalesce(F.regexp_count(F.col(f"`{text_column}`").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), pattern.alias("pattern"), size.alias("size")))
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORDS)).cast("long")
+    sized = cut(docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), pattern.alias("pattern"), size.alias("size"), F.xxhash64(text).alias("text_hash")))
     return _mixed(sized, seed).withColumnRenamed("id", id_column)
 
 
@@ -202,15 +203,26 @@ def _mixed(sized: DataFrame, seed: int) -> DataFrame:
     some = F.greatest(F.col("size"), F.lit(1))
     plan = plan.select("pattern", F.floor(F.col("given") / some).alias("copies"), F.pmod("given", some).alias("rest"), F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
 
-    marked = sized.withColumn("h", F.xxhash64(F.coalesce("id", F.lit(-1)), "size", F.lit(seed))).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int"))
+    marked = sized.withColumn("h", F.xxhash64(F.coalesce("id", F.lit(-1)), "text_hash", F.lit(seed))).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int"))
     sums = marked.groupBy("pattern", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = sums.withColumn("start", F.sum("bucket_size").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("pattern", "bucket", F.coalesce("start", F.lit(0)).alias("start"))
     # pattern and plan meet here, at most BUCKETS rows of a pattern, so that a hot source's documents never share a task
     starts = starts.join(plan, "pattern")
-    within = Window.partitionBy("pattern", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pattern", "bucket").orderBy("h", "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     done = marked.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["pattern", "bucket"])
     extra = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start") - F.col("ahead")))
-    return done.select("id", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"))
+    return done.select("id", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"), "text_hash")
+
+
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Each row of docs, with its own columns, as often as `mixed` takes it, to the nearest whole copy; of rows of one id and text the takings are one sum."""
+    k1, k2 = id_keys(F.col(id_column))
+    taken = mixed.groupBy(k1.alias("own_id"), k2.alias("own_null"), F.col("text_hash").alias("own_hash")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).where("taken > 0")
+    taken = taken.select("own_id", "own_null", "own_hash", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    k1, k2 = id_keys(F.col(f"`{id_column}`").cast("long"))
+    rows = one_of_each(docs, own_id=k1, own_null=k2, own_hash=F.xxhash64(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))))
+    rows = rows.join(taken, ["own_id", "own_null", "own_hash"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import apart, cut, drop, held, map_rows, release
+from inkwell.llm.common import apart, cut, drop, held, id_keys, map_rows, one_of_each, release
 from inkwell.llm.components import connected_components
 
 #: Words in a shingle; bands and rows of the MinHash table; bits of the odd sketch; most ones in an XOR that pass.
@@ -306,6 +306,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     An empty table gives an empty one; other columns are ignored. percent must be 80 or more: bands and sketch
     are set for high similarities.
     """
+    out = _decided(docs, percent, id_column, text_column, width)
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("id").isNull(), component.isNull()).otherwise(F.col("id") == component).alias("kept"))
+
+
+def keep_rows(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE) -> DataFrame:
+    """One row of each component, with its own columns: that of the least id (null last), of those the least by hash of the text; rows without words stay."""
+    out = _decided(docs, percent, id_column, text_column, width).where("n > 0")
+    best = out.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("best"))
+    k1, k2 = id_keys(F.col("best.id"))
+    kept = best.select(k1.alias("own_id"), k2.alias("own_null"), F.col("best.h").alias("own_hash"))
+    k1, k2 = id_keys(F.col(f"`{id_column}`").cast("long"))
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    words = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) > 0
+    rows = one_of_each(docs.where(words), own_id=k1, own_null=k2, own_hash=F.xxhash64(text))
+    return rows.join(kept, ["own_id", "own_null", "own_hash"], "left_semi").select("row.*").unionByName(docs.where(~words))
+
+
+def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str, width: int) -> DataFrame:
+    """id, h (of the text), n, component, component_id for each row; the last two null without words."""
     if percent < 80:
         raise ValueError("the bands and the sketch filter are set for percent >= 80")
     text = F.col(f"`{text_column}`").cast("string")
@@ -337,9 +357,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     near = cut(_tasks(members.select("key", F.explode(twice).alias("i"), "node", "sketch"), "key", "i").mapInPandas(_bucket_edges, "u bigint, v bigint, w bigint").distinct())
 
     # the texts of all classes that are alike to others: one row of those with the class's id and text
-    k = lambda i: (F.coalesce(i, F.lit(0)), i.isNull())
     some = near.select(F.explode(F.array("u", "v", "w")).alias("node")).where("node >= 0").distinct()
-    (k1, k2), (o1, o2) = k(F.col("id")), k(F.col("one.id"))
+    (k1, k2), (o1, o2) = id_keys(F.col("id")), id_keys(F.col("one.id"))
     weight = F.greatest(F.lit(1.0 / CLUSTER_BLOCK), F.col("n") / CLUSTER_SHINGLES).alias("weight")
     wanted = classes.join(some, "node").select("node", weight, o1.alias("k1"), o2.alias("k2"), F.col("one.h").alias("h"))
     texts = source.select(k1.alias("k1"), k2.alias("k2"), "h", "text").groupBy("k1", "k2", "h").agg(F.first("text").alias("text"))
@@ -376,10 +395,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     own = in_comps(classes.select(*same, "id", F.col("node").alias("component")), "component")
     own = own.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_j")), "component", "left").withColumn("component", F.coalesce("_j", "component"))
     least = apart(own.groupBy("component").agg(F.min("id").alias("component_id")))
-    final = own.join(least, "component").select(*same, "component_id")
-    out = signed.select("id", *same).join(final, same, "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("id").isNull(), component.isNull()).otherwise(F.col("id") == component).alias("kept"))
+    final = own.join(least, "component").select(*same, "component", "component_id")
+    return signed.select("id", "h", *same).join(final, same, "left").drop("a", "b")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,37 @@ def test_stages(spark, tmp_path):
     codec = bpe.Codec(bpe.public_vocabulary())
     assert all(r["ids"] == b"".join(codec.encode([text[r["doc_id"]]])[0]) for r in coded)
     assert corpus_pipeline.run(spark, d).count() == len(coded)
+
+
+def words(n, seed):
+    return " ".join(f"{seed}{i}" for i in range(n))
+
+
+def test_stages_with_repeated_ids(spark, tmp_path):
+    """Null and repeated ids, clashing extra columns: what each stage keeps, against the same by definition."""
+    near = lambda k: words(40, "w") + f" tail{k}"
+    rows = [(3, near(0)), (5, words(30, "b")), (5, near(1)), (None, near(2)), (None, words(25, "n")), (7, words(30, "b")), (5, words(30, "b")), (None, words(25, "n")), (8, ""), (8, None), (9, " ")]
+    d = str(tmp_path)
+    extra = "x'extra' AS row, 1 AS size, 'k' AS kept, 2 AS component, 3 AS text_hash, 'm' AS own_id"
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", extra.replace("x'", "'").split(", ")[0], *extra.split(", ")[1:])
+    exact = corpus_pipeline.distinct_documents(spark, docs, d)
+    assert exact.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in exact.collect()), key=str) == sorted([(3, near(0)), (5, near(1)), (None, near(2)), (None, words(25, "n")), (7, words(30, "b")), (8, ""), (9, " ")], key=str)
+    unlike = corpus_pipeline.unlike_documents(spark, docs, d)
+    assert unlike.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in unlike.collect()), key=str) == sorted([(3, near(0)), (5, words(30, "b")), (None, words(25, "n")), (8, ""), (8, None), (9, " ")], key=str)
+    mixed = corpus_pipeline.mixed_documents(spark, unlike, d)
+    assert mixed.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= {(3, near(0)), (5, words(30, "b")), (None, words(25, "n"))}
+    coded = corpus_pipeline.encoded_documents(spark, docs, d).collect()
+    assert len(coded) == len(rows)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, d).count() == 0
+    assert corpus_pipeline.run(spark, d).count() == 0
