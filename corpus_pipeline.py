@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from inkwell.llm.common import cut, packed
+from inkwell.llm.common import cut
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +21,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity 0.8): the one of the least id."""
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return packed(docs, own_id=F.col("doc_id")).join(kept, F.col("own_id").eqNullSafe(F.col("_id")), "left_semi").select("row.*")
+    return near_dedup.keep_rows(docs, percent=80)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole copy; documents it does not take go."""
-    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long")
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
-    taken = taken.groupBy("_id", "_size").agg(F.max("_n").alias("_n")).where("_n > 0")
-    rows = packed(docs, own_id=F.col("doc_id"), own_size=words).join(taken, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_size") == F.col("_size")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
+    return mixing.repeat_rows(docs, mixing.mix(docs))
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
