@@ -440,6 +440,41 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"BUCKET_ROWS": 3, "GROUP_ROWS": 60, "QUERY_ROWS": 7}, {"TARGET": 1.0}])
+def test_nearest_recall(spark, monkeypatch, how):
+    """Clustered vectors of two lengths; buckets of several rotations, groups in several tasks."""
+    for name, value in how.items():
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(12, 12))
+    x = centers[r.integers(0, 12, 1200)] + 0.3 * r.normal(size=(1200, 12))
+    short = r.normal(size=(50, 5))
+    df = spark.createDataFrame([(i, a.tolist(), "extra", 1) for i, a in enumerate(x)] + [(5000 + i, a.tolist(), "extra", 1) for i, a in enumerate(short)], "vec_id long, embedding array<double>, id string, n int")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k=10).collect()
+    hit = total = 0
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        want = sorted((i for i in range(1200) if i != q), key=lambda i: (-s[i], i))[:10]
+        mine = [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])]
+        hit += len(set(want) & set(mine))
+        total += 10
+    assert hit / total >= 0.9
+    # 50 points of another length: an exact search among them
+    for q in (5000, 5020, 5040):
+        s = short @ short[q - 5000]
+        mine = [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])]
+        assert len(mine) == 10 and all(m >= 5000 for m in mine)
+
+
+def test_probes_are_the_largest_sums():
+    x = np.random.default_rng(3).normal(size=(5, 8))
+    a, b = ann._turned(x, 0, 0, 1), ann._turned(x, 0, 1, 1)
+    for row, got in enumerate(ann.probed(x, 0, 2, 20, 1)):
+        sums = (a[row][:, None] + b[row][None]).reshape(-1)
+        assert len(set(got.tolist())) == 20 and np.allclose(sums[got], np.sort(sums)[::-1][:20])
+    assert (ann.probed(x, 0, 2, 1, 1)[:, 0] == ann.bucket(x, 0, 2, 1)).all()
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(3, 32))
     h = ann.hadamard(np.eye(32))
