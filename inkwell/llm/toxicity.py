@@ -6,7 +6,9 @@ so the two differ only in what toxic text adds). A text is cut into windows, one
 gives several), framed by white space and a fixed carrier that both dictionaries hold and that gives the
 compressor room to look ahead. A window counts as toxic when the toxic dictionary shortens it by at least a
 calibrated number of bytes and a calibrated share of its length. A logistic regression on the number and share of
-such windows gives the score. Workers remember the lengths of windows they have met.
+such windows gives the score. Workers remember the lengths of windows they have met. (Longer windows of running text
+under dictionaries of the plain texts tell the two apart far worse where few words of a long text are toxic; the
+README has the figures.)
 """
 
 from __future__ import annotations
@@ -143,12 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = learning_labels(labels, "toxic").select(F.col("doc_id").alias("id"), "y")
     text = F.col(f"`{text_column}`").cast("string")
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    # ids first, so that only the sample's texts move
+    # ids first, so that only the sample's texts move; those of a hash under a limit, so that few more than the sample do
     first = F.xxhash64("id", F.lit(SEED))
-    chosen = [r["id"] for y, n in ((1, TOXIC), (0, ORDINARY)) for r in known.where(F.col("y") == y).orderBy(first, "id").limit(n).select("id").collect()]
-    some = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most TOXIC + ORDINARY ids
-    got = rows.join(F.broadcast(some), "id").join(F.broadcast(known.join(F.broadcast(some), "id")), "id").select("id", "y", "text", first.alias("h")).collect()
-    got.sort(key=lambda r: (r["h"], r["id"], r["text"]))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = []
+    for y, n in ((1, TOXIC), (0, ORDINARY)):
+        share = (1.05 * n + 5 * n**0.5) / max(1, counts.get(y, 0))
+        some = known.where(F.col("y") == y)
+        if share < 1:
+            some = some.where(F.shiftrightunsigned(first, 1).cast("double") <= share * float(1 << 63))
+        chosen += [(r["id"], y) for r in some.orderBy(first, "id").limit(n).select("id").collect()]
+    few = docs.sparkSession.createDataFrame(chosen, "id long, y int")  # at most TOXIC + ORDINARY ids
+    # of the texts of a repeated id the one of least hash
+    got = rows.join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "y", "text", first.alias("h")).collect()
+    got.sort(key=lambda r: (r["h"], r["id"]))
     return fit([r["text"] for r in got if r["y"] == 1], [r["text"] for r in got if r["y"] == 0])
 
 

@@ -118,6 +118,47 @@ def test_toxicity_edges(docs, no_docs, labels):
     assert all(r["score"] < 0.5 for r in toxicity.classify(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_scores_by_definition(corpus):
+    """Window lengths, counts and the score, each compressed and summed anew."""
+    import zstandard as z
+
+    rows, *_ = corpus
+    model = toxicity.fit([t for _, t, _, y in rows[:300] if y], [t for _, t, _, y in rows[:300] if not y])
+
+    def length(content, window):
+        d = z.ZstdCompressionDict(content + toxicity.CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)
+        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=15, chain_log=15, search_log=6, write_content_size=False, write_dict_id=False, write_checksum=False)
+        d.precompute_compress(compression_params=how)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(b" " + window + b" " + toxicity.CARRIER))
+
+    gains = toxicity.Gains(model)
+    for _, text, _, _ in [*rows[300:312], (0, "", 0, 0), (0, "zomglub" * 40, 0, 0)]:
+        hits = words = 0
+        for word in re.split(r"[\s.,;:!?\"'()\[\]{}|*#%&$<>=]+", text.lower()):
+            if not word:
+                continue
+            words += 1
+            b, best = word.encode(), (-99, 0.0)
+            for i in range(0, len(b), toxicity.WINDOW):
+                w = b[i : i + toxicity.WINDOW]
+                g = length(model.ordinary, w) - length(model.toxic + model.ordinary, w)
+                best = max(best, (g, g / (len(w) + 2)))
+            assert gains[word] == best
+            hits += best[0] >= model.least_bytes and best[1] >= model.least_share
+        x = [1.0, float(hits > 0), np.log(1 + hits), 20 * hits / max(1, words)]
+        assert np.allclose(toxicity.summary([gains[w] for w in toxicity.words_of(text)], model.least_bytes, model.least_share), x)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC", 30)
+    monkeypatch.setattr(toxicity, "ORDINARY", 50)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda a, b: seen.update(toxic=a, ordinary=b))
+    docs = spark.createDataFrame([(i % 400, f"text {i}") for i in range(1200)] + [(1, f"again {i}") for i in range(500)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert len(seen["toxic"]) == 30 and len(seen["ordinary"]) == 50
+
+
 def naive_base(x):
     e, i, c, p = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
     digits = lambda m: re.sub("[ -]", "", m.group())
