@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import domain as D
@@ -42,6 +42,13 @@ def words(text: Column) -> Column:
     return F.filter(raw_tokens(text), lambda t: ~F.array_contains(stop, t))
 
 
+def exploded_words(df: DataFrame, text: Column, *columns: Column) -> DataFrame:
+    """The columns and w: a row for each of `words`, filtered in generated code after the split."""
+    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " ")
+    rows = df.select(*columns, F.explode(F.split(clean, r"\s+")).alias("w"))
+    return rows.where((F.length("w") >= 2) & ~F.col("w").isin(*D.STOPWORDS))
+
+
 def analyse(text: Column, expand: bool = True) -> Column:
     """Index terms of a text in order: stopwords go, acronyms become their (unstemmed) words, others are stemmed and followed by those stemmed synonyms that the list does not hold yet."""
     if not expand:
@@ -71,9 +78,12 @@ def short_id(*parts: Column, n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, n)
 
 
-def highlights(text: Column, query: Column, around: int = 50, most: int = 3) -> Column:
-    """For each query word of two letters or more its first place in the text with some context; the first three."""
-    low = F.lower(text)
+def highlights(text: Column, query: Column, around: int = 50, most: int = 3, low: Column | None = None) -> Column:
+    """For each query word of two letters or more its first place in the text with some context; the first three.
+
+    low: the text in lower case, where a column has it already; else it is made for each word.
+    """
+    low = F.lower(text) if low is None else low
     terms = F.filter(F.split(F.lower(query), r"\s+"), lambda t: F.length(t) >= 2)
 
     def snippet(t: Column) -> Column:

@@ -1,22 +1,23 @@
 """BM25 (Okapi) over a postings table.
 
-postings(term, id, tf) and lengths(id, dl) come from one pass and one partial aggregation; scoring joins the few
-query terms (broadcast behind a limit on their number) with the postings, so only their rows move.
+postings(term, id, tf) and lengths(id, dl) come from one pass: a document's words are counted first, and only its
+distinct words are stemmed. An index can be written and read again; scoring joins the query terms, broadcast behind a
+count of their rows, with the postings of their term buckets, so only their rows are read and move.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query-term rows up to which the query side is broadcast.
-BROADCAST_TERMS = 100_000
+#: Query-term rows up to which the query side is broadcast; folders of terms in a written index.
+BROADCAST_TERMS, BUCKETS = 100_000, 64
 
 
 @dataclass(frozen=True)
@@ -31,16 +32,19 @@ def terms_of(text: Column, expand: bool) -> Column:
 
 
 def build(docs: DataFrame, id_column: str, text: Column, expand: bool = False) -> Index:
-    """The index of a table's texts; a text without terms has no postings but counts as a document."""
+    """The index of a table's texts; a text without terms has no postings but counts as a document, one without an id doesn't."""
+    docs = docs.where(F.col(id_column).isNotNull())
     if expand:
-        words = docs.select(F.col(id_column).alias("id"), F.explode(T.analyse(text)).alias("term"))
-    else:  # explode first: the stems then run in generated code
-        words = docs.select(F.col(id_column).alias("id"), F.explode(T.words(text)).alias("w")).select("id", T.stem(F.col("w")).alias("term"))
-    postings = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    own = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+        words = docs.select(F.col(id_column).alias("id"), F.explode(T.analyse(text)).alias("term")).where(F.col("term").isNotNull())
+        postings = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    else:
+        counts = T.exploded_words(docs, text, F.col(id_column).alias("id")).groupBy("id", "w").agg(F.count("*").alias("n"))
+        postings = counts.select("id", T.stem(F.col("w")).alias("term"), "n").where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.sum("n").alias("tf"))
+    # both aggregates read all columns of postings, so that they and the scoring share one exchange
+    own = postings.groupBy("id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("dl"))
     lengths = docs.select(F.col(id_column).alias("id")).join(own, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     # one row of corpus statistics
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
@@ -48,6 +52,23 @@ def build(docs: DataFrame, id_column: str, text: Column, expand: bool = False) -
     return Index(postings, lengths, terms)
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write(index: Index, path: str) -> None:
+    """Write an index under a folder; postings and terms lie in folders by the hash of the term."""
+    for name in ("postings", "terms"):
+        rows = getattr(index, name).withColumn("bucket", _bucket(F.col("term")))
+        rows.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    """A written index."""
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")))
+
+
 def query_terms(queries: DataFrame, expand: bool = False) -> DataFrame:
     """q, pos, term: the terms of queries (q, text); repeats stay."""
     return queries.select("q", F.posexplode(terms_of(F.col("text"), expand)).alias("pos", "term"))
@@ -56,10 +77,13 @@ def query_terms(queries: DataFrame, expand: bool = False) -> DataFrame:
 def score(index: Index, queries: DataFrame, k: int | None = None, expand: bool = False, keywords: bool = False) -> DataFrame:
     """q, id, score (above 0), rank, and the matched terms in query order: the k best of each query, ties to the smaller id."""
     asked = query_terms(queries, expand)
-    few = queries.limit(BROADCAST_TERMS // 50 + 1).count() <= BROADCAST_TERMS // 50
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    key = ["term"]
+    if "bucket" in index.postings.columns:  # partition pruning by the query terms' buckets
+        asked, key = asked.withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"]
     small = F.broadcast(asked) if few else asked
-    weight = index.terms.join(small, "term").select("q", "pos", "term", "idf", "avgdl")
-    hits = index.postings.join(F.broadcast(weight) if few else weight, "term").join(index.lengths, "id")
+    weight = index.terms.join(small, key).select("q", "pos", *key, "idf", "avgdl")
+    hits = index.postings.join(F.broadcast(weight) if few else weight, key).join(index.lengths, "id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     sums = [F.sum(part).alias("score")]
     if keywords:

@@ -10,12 +10,19 @@ from inkwell.functions import text as T
 from inkwell.operators import vectors
 
 
-def cache_key(query: Column) -> Column:
-    return T.short_id(F.lower(F.trim(query)))
+def cache_key(query: Column, context: str | None = None) -> Column:
+    """The key of a query or, with a context (mode, k and filters), of a query asked that way."""
+    text = F.lower(F.trim(query))
+    return T.short_id(text) if context is None else T.short_id(text, F.lit(context))
 
 
-def lookup(cache: DataFrame, queries: DataFrame, now: Column, least: float = D.CACHE_SIMILARITY, ttl: int = D.CACHE_TTL) -> DataFrame:
-    """q, key, score of the most similar entry of each query (q, vector), if it is similar enough and not too old. Age is judged on the best entry only."""
+def lookup(cache: DataFrame, queries: DataFrame, now: Column, least: float = D.CACHE_SIMILARITY, ttl: int = D.CACHE_TTL, context: str | None = None) -> DataFrame:
+    """q, key, score of the most similar entry of each query (q, vector), if it is similar enough and not too old. Age is judged on the best entry only.
+
+    With a context only entries of that context count: an answer to the same words in another mode is none.
+    """
+    if context is not None:
+        cache = cache.where(F.col("context") == context)
     best = vectors.top_k(cache, queries, 1, "key", "embedding")
     entry = best.join(cache.select(F.col("key").alias("id"), "created_at"), "id")
     fresh = now.cast("double") - F.col("created_at").cast("double") <= ttl
@@ -29,7 +36,8 @@ def evict(cache: DataFrame, most: int = D.CACHE_ENTRIES) -> DataFrame:
 
 def put(cache: DataFrame, entries: DataFrame, most: int = D.CACHE_ENTRIES) -> DataFrame:
     """Add or replace entries, then evict."""
-    return evict(cache.join(entries.select("key"), "key", "left_anti").unionByName(entries), most)
+    # dealt anew: a union of two sides that are both dealt by key zips their partitions, which adaptive execution may have merged differently
+    return evict(cache.join(entries.select("key"), "key", "left_anti").unionByName(entries.hint("rebalance")), most)
 
 
 def invalidate(cache: DataFrame, document_id: str) -> DataFrame:

@@ -47,3 +47,9 @@ def price(model: Column, prices: dict[str, tuple[float, float]], tokens_in: Colu
     for name, (a, b) in sorted(prices.items(), key=lambda p: len(p[0])):
         out = F.when(model.startswith(name), tokens_in * a / 1e6 + tokens_out * b / 1e6).otherwise(out)
     return out
+
+
+def entities_text(entities: Column) -> Column:
+    """`key: a, b; ...` of a map of key -> values: the first eight keys with three values each; N/A for none."""
+    line = lambda e: F.concat(e["key"], F.lit(": "), F.array_join(F.slice(e["value"], 1, 3), ", "))
+    return F.when(F.size(entities) > 0, F.array_join(F.transform(F.slice(F.map_entries(entities), 1, 8), line), "; ")).otherwise("N/A")

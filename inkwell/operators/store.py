@@ -1,6 +1,8 @@
 """The document store on Parquet: upserts, column updates and cascading deletes as joins; every call returns new frames.
 
-Writes replace a table's folder by a new snapshot (write beside, then swap), so readers see the old or the new one.
+A write makes a new numbered snapshot beside the old ones and then a marker file for it, in one step of the file system;
+a snapshot without marker does not count. Readers see the old or the new one whenever a writer stops, and a reader at
+work keeps its files, as the snapshot before stays. Of two writers at once the second fails.
 """
 
 from __future__ import annotations
@@ -9,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from inkwell.operators import bm25
 
 #: child table -> (parent table, key in the child); ids are `id`, or what `KEYS` says.
 PARENTS = {"chunks": ("documents", "document_id"), "pages": ("documents", "document_id"), "chunk_metadata": ("chunks", "chunk_id"), "chunk_questions": ("chunks", "chunk_id"), "vectors": ("chunks", "chunk_id")}
@@ -30,12 +35,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = [c for c in old.columns if c not in new.columns]
     if missing:
         new = new.join(old.select(*keys, *missing), keys, "left")
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
+    # dealt anew: a union of two sides that are both dealt by the keys zips their partitions, which adaptive execution may have merged differently
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns).hint("rebalance"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent_key: str) -> DataFrame:
     """The rows of each parent in `new` replace all its old rows; parents without new rows keep theirs."""
-    return old.join(new.select(parent_key).distinct(), parent_key, "left_anti").unionByName(new)
+    return old.join(new.select(parent_key).distinct(), parent_key, "left_anti").unionByName(new.hint("rebalance"))
 
 
 def update(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,27 +100,44 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 class Store:
     """Tables as Parquet snapshots under one folder of any file system that Spark reaches."""
 
+    #: Snapshots of a table that stay.
+    KEPT = 2
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, table: str) -> list[str]:
+        where = self._path(f"{self.path}/{table}")
+        return [x.getPath().getName() for x in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def versions(self, table: str) -> list[int]:
+        """The committed snapshots of a table, oldest first."""
+        names = set(self._names(table))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".done") and n[:-5] in names)
+
     def read(self, table: str) -> DataFrame:
-        where = f"{self.path}/{table}"
-        return self.spark.read.schema(SCHEMAS[table]).parquet(where) if self._fs.exists(self._path(where)) else empty(self.spark, table)
+        found = self.versions(table)
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}/{found[-1]:012d}") if found else empty(self.spark, table)
 
     def write(self, table: str, df: DataFrame) -> None:
-        """Write a snapshot beside the table, then swap the folders."""
-        where, fresh, old = (f"{self.path}/{table}{s}" for s in ("", ".new", ".old"))
+        """Write a snapshot, then commit it by its marker; older ones but KEPT go, and what a stopped writer left."""
+        before = self.versions(table)
+        version = max([int(n[:12]) for n in self._names(table) if n[:12].isdigit()], default=0) + 1
+        where = f"{self.path}/{table}/{version:012d}"
         out = df.select(*[f.name for f in empty(self.spark, table).schema])
-        writer = out.write.mode("overwrite")
-        (writer.partitionBy("vector_type") if table == "vectors" else writer).parquet(fresh)
-        self._fs.delete(self._path(old), True)
-        if self._fs.exists(self._path(where)):
-            self._fs.rename(self._path(where), self._path(old))
-        self._fs.rename(self._path(fresh), self._path(where))
-        self._fs.delete(self._path(old), True)
+        writer = out.write.mode("errorifexists")
+        (writer.partitionBy("vector_type") if table == "vectors" else writer).parquet(where)
+        self._commit(where)
+        stay = {f"{v:012d}" for v in [*before, version][-self.KEPT :]}
+        for name in self._names(table):
+            if name[:12].isdigit() and int(name[:12]) < version and name[:12] not in stay:
+                self._fs.delete(self._path(f"{self.path}/{table}/{name}"), True)
+
+    def _commit(self, where: str) -> None:
+        self._fs.create(self._path(f"{where}.done"), False).close()  # fails if another writer was first
 
     def upsert(self, table: str, rows: DataFrame, keys: Sequence[str] = ("id",)) -> None:
         self.write(table, upsert(self.read(table), rows, keys))
@@ -125,3 +148,63 @@ class Store:
 
     def find(self, table: str, condition: Column) -> DataFrame:
         return self.read(table).where(condition)
+
+    def write_index(self, index: bm25.Index) -> None:
+        """A new snapshot of the keyword index: postings, lengths and terms."""
+        before = self.versions("keywords")
+        version = max([int(n[:12]) for n in self._names("keywords") if n[:12].isdigit()], default=0) + 1
+        where = f"{self.path}/keywords/{version:012d}"
+        bm25.write(index, where)
+        self._commit(where)
+        for v in before[: -self.KEPT + 1]:
+            for name in (f"{v:012d}.done", f"{v:012d}"):
+                self._fs.delete(self._path(f"{self.path}/keywords/{name}"), True)
+
+    def read_index(self) -> bm25.Index | None:
+        """The keyword index last written; None without one."""
+        found = self.versions("keywords")
+        return bm25.read(self.spark, f"{self.path}/keywords/{found[-1]:012d}") if found else None
+
+
+def processing_status(documents: DataFrame) -> DataFrame:
+    """id, processing_status, page_count, has_layout, has_markdown of each document."""
+    return documents.select("id", "processing_status", "page_count", F.col("layout_data").isNotNull().alias("has_layout"), F.col("extracted_markdown").isNotNull().alias("has_markdown"))
+
+
+def page_info(pages: DataFrame) -> DataFrame:
+    """document_id, page_number, n_detections, n_unfiltered, n_removed (never below 0) from the JSON lists of a page's boxes; text that is no list counts as none."""
+    count = lambda c: F.coalesce(F.json_array_length(c), F.lit(0))
+    n, every = count("layout"), count("unfiltered_layout")
+    return pages.select("document_id", "page_number", n.alias("n_detections"), every.alias("n_unfiltered"), F.greatest(F.lit(0), every - n).alias("n_removed"))
+
+
+def layout_boxes(documents: DataFrame) -> DataFrame:
+    """id, page_number, pos, label, text, bbox of a document's layout_data: a flat JSON list of boxes, or one of pages with their `regions`."""
+    box = "struct<label:string,text:string,bbox:array<double>,page:int>"
+    raw = F.from_json("layout_data", f"array<struct<label:string,text:string,bbox:array<double>,page:int,page_number:int,regions:array<{box}>>>")
+    rows = documents.select("id", F.posexplode(raw).alias("i", "x"))
+    flat = F.array(F.struct(F.lit(0).alias("j"), F.coalesce("x.page", "x.page_number").alias("page"), F.col("x.label").alias("label"), F.col("x.text").alias("text"), F.col("x.bbox").alias("bbox")))
+    page = F.coalesce("x.page_number", "x.page", F.col("i") + 1)
+    nested = F.transform("x.regions", lambda r, j: F.struct(j.alias("j"), F.coalesce(page, r["page"]).alias("page"), r["label"].alias("label"), r["text"].alias("text"), r["bbox"].alias("bbox")))
+    every = rows.select("id", "i", F.explode(F.when(F.col("x.regions").isNotNull(), nested).otherwise(flat)).alias("b")).where(F.col("b.label").isNotNull() | F.col("b.bbox").isNotNull())
+    pos = F.row_number().over(Window.partitionBy("id").orderBy("i", "b.j")) - 1
+    return every.select("id", F.col("b.page").alias("page_number"), pos.alias("pos"), "b.label", "b.text", "b.bbox")
+
+
+def matched_boxes(nodes: DataFrame, boxes: DataFrame, shown: int = 100) -> DataFrame:
+    """nodes (id, node, text) with label and bbox of the first box (by pos) of their document whose text holds the node's first characters; null where none does."""
+    start = F.lower(F.trim(F.substring("text", 1, shown)))
+    wanted = nodes.select("id", "node", start.alias("_start")).where(F.length("_start") > 0)
+    hits = wanted.join(boxes.select("id", "pos", F.lower("text").alias("_text"), "label", "bbox"), "id").where(F.instr(F.col("_text"), F.col("_start")) > 0)
+    first = hits.groupBy("id", "node").agg(F.min_by(F.struct("label", "bbox"), "pos").alias("_b")).select("id", "node", "_b.label", "_b.bbox")
+    return nodes.join(first, ["id", "node"], "left")
+
+
+def reindex(found: DataFrame, known: DataFrame, failed: DataFrame) -> DataFrame:
+    """outcome, n of a reindexing of files (id, file_hash): processed, failed (ids in `failed`), skipped (unchanged) and removed."""
+    todo = changed_files(found, known)
+    bad = todo.join(failed.select("id").distinct(), "id", "left_semi")
+    parts = {"processed": todo.join(failed.select("id").distinct(), "id", "left_anti"), "failed": bad, "skipped": found.join(known.select("id", "file_hash"), ["id", "file_hash"], "left_semi"), "removed": removed_files(found, known)}
+    rows = [df.select(F.lit(name).alias("outcome")) for name, df in parts.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.groupBy("outcome").agg(F.count("*").alias("n"))

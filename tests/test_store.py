@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import bm25, cache, diversity, filters, fusion, store, vectors
-from inkwell.plans import adapters, answers, index, search
+from inkwell.plans import adapters, answers, index, respond, search
 from inkwell.streaming import watch
 
 
@@ -27,6 +27,68 @@ def test_store_round_trip(spark, tmp_path):
     assert s.read("documents").count() == s.read("vectors").count() == 0
 
 
+def test_store_survives_a_stopped_writer(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "store"))
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    s.upsert("documents", rows("a", "b"))
+    reader = s.read("documents")
+
+    class Stop(Exception):
+        pass
+
+    def stopped(where):
+        raise Stop
+
+    # stopped between the snapshot and its marker: the old table is there, whole
+    with monkeypatch.context() as m:
+        m.setattr(s, "_commit", stopped)
+        with pytest.raises(Stop):
+            s.upsert("documents", rows("c"))
+    assert sorted(r["id"] for r in s.read("documents").collect()) == ["a", "b"]
+    s.upsert("documents", rows("d"))
+    assert sorted(r["id"] for r in s.read("documents").collect()) == ["a", "b", "d"]
+    assert sorted(r["id"] for r in reader.collect()) == ["a", "b"]  # a reader at work keeps its snapshot
+    assert len(s.versions("documents")) == 2 and len(list((tmp_path / "store" / "documents").glob("[0-9]*[0-9]"))) == 2
+    # stopped while the snapshot is written
+    (tmp_path / "store" / "documents" / "000000000009").mkdir()
+    s.upsert("documents", rows("e"))
+    assert s.read("documents").count() == 4
+    # two writers of one version: the second fails
+    t = store.Store(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        t._commit(f"{t.path}/documents/{t.versions('documents')[-1]:012d}")
+
+
+def test_written_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "delta"), (None, "alpha")], "doc_id long, text string")
+    ix = bm25.build(docs, "doc_id", F.col("text"))
+    s = store.Store(spark, str(tmp_path / "store"))
+    assert s.read_index() is None
+    s.write_index(ix)
+    s.write_index(ix)
+    asked = spark.createDataFrame([("q", "beta beta gamma")], "q string, text string")
+    got = bm25.score(s.read_index(), asked)
+    assert sorted(map(str, got.collect())) == sorted(map(str, bm25.score(ix, asked).collect())) and got.count() == 2
+    assert "PartitionFilters" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_projections(spark):
+    d = spark.createDataFrame([("a", "indexed", 2, "[]", None), ("b", "pending", None, None, "x")], "id string, processing_status string, page_count int, layout_data string, extracted_markdown string")
+    assert [tuple(r)[3:] for r in store.processing_status(d).orderBy("id").collect()] == [(True, False), (False, True)]
+    p = spark.createDataFrame([("a", 1, "[1,2]", "[1,2,3]"), ("a", 2, "[1]", "[]"), ("a", 3, None, "x")], "document_id string, page_number int, layout string, unfiltered_layout string")
+    assert [tuple(r)[2:] for r in store.page_info(p).orderBy("page_number").collect()] == [(2, 3, 1), (1, 0, 0), (0, 0, 0)]
+    flat = json.dumps([{"label": "text", "text": "Some words here", "bbox": [0, 0, 1, 1], "page": 1}, {"label": "title", "text": "Top", "bbox": [0, 0, 1, 1]}])
+    paged = json.dumps([{"page_number": 4, "regions": [{"label": "table", "text": "cells", "bbox": [1, 1, 2, 2]}]}])
+    boxes = store.layout_boxes(spark.createDataFrame([("f", flat), ("p", paged), ("n", None), ("l", "[[1, 2]]")], "id string, layout_data string"))
+    got = sorted((r["id"], r["pos"], r["page_number"], r["label"]) for r in boxes.collect())
+    assert got == [("f", 0, 1, "text"), ("f", 1, None, "title"), ("p", 0, 4, "table")]
+    nodes = spark.createDataFrame([("f", 0, " some WORDS "), ("f", 1, "absent"), ("f", 2, "")], "id string, node int, text string")
+    assert [(r["node"], r["label"]) for r in store.matched_boxes(nodes, boxes).orderBy("node").collect()] == [(0, "text"), (1, None), (2, None)]
+    files = lambda *rows: spark.createDataFrame(list(rows), "id string, file_hash string")
+    out = store.reindex(files(("a", "1"), ("b", "2"), ("c", "3")), files(("a", "1"), ("b", "0"), ("z", "9")), files(("c", "")))
+    assert {r["outcome"]: r["n"] for r in out.collect()} == {"processed": 1, "failed": 1, "skipped": 1, "removed": 1}
+
+
 def test_cascade(spark):
     t = {
         "documents": spark.createDataFrame([("a",), ("b",)], "id string"),
@@ -118,6 +180,7 @@ def test_empty_filters(spark):
     assert filters.candidates(ids, [none, one]).count() == 1 and filters.candidates(ids, [none], "empty").count() == 0
     e = spark.createDataFrame([(["a ", "a", " "], ["x"])], "k array<string>, z array<string>").select(F.create_map(F.lit("k"), "k", F.lit("z"), "z").alias("m"))
     assert e.select(filters.clean_entities(F.col("m"), ["k"])).first()[0] == {"k": ["a"]}
+    assert e.select(filters.entities_text(F.col("m"))).first()[0] == "k: a , a,  ; z: x" and e.select(filters.entities_text(F.lit(None).cast("map<string,array<string>>"))).first()[0] == "N/A"
 
 
 def test_index_and_search(spark):
@@ -136,6 +199,59 @@ def test_index_and_search(spark):
     assert best["document_id"] == "d2" and any("water" in h for h in best["highlights"])
 
 
+def corpus_of(spark):
+    texts = [("c1", "d1", "water damage is covered by the policy"), ("c2", "d1", "water damage is covered by the policies"), ("c3", "d2", "file a claim with the agent"), ("c4", "d2", "fire claims need photographs"), ("c5", "d3", "the agent calls back about water")]
+    chunks = spark.createDataFrame(texts, "id string, document_id string, text string").withColumn("category", F.lit("narrative"))
+    v = adapters.embedded(chunks.select("id", F.col("id").alias("chunk_id"), "text"), "text", adapters.HashingEmbedder)
+    vectors_ = v.select("id", "chunk_id", F.lit("main").alias("vector_type"), "vector")
+    docs = spark.createDataFrame([("d1", "a.md", "policy"), ("d2", "b.md", "claim form"), ("d3", "c.md", "letter")], "id string, file_name string, detected_doc_type string")
+    return search.Corpus(chunks, vectors_, bm25.build(chunks, "id", F.col("text"))), docs
+
+
+def test_search_steps(spark):
+    corpus, docs = corpus_of(spark)
+    asked = adapters.embedded(spark.createDataFrame([("q", "water damage policy")], "q string, text string"), "text", adapters.HashingEmbedder)
+    ids = lambda df: [r["id"] for r in df.orderBy("rank").collect()]
+    assert ids(search.search(corpus, asked, 2)) == ["c1", "c2"]
+    only = search.allowed_chunks(corpus.chunks, docs, "claim")
+    assert set(ids(search.search(corpus, asked, 5, only))) <= {"c3", "c4"}
+    assert search.allowed_chunks(corpus.chunks, docs, "nothing of the kind") is None and search.allowed_chunks(corpus.chunks, docs) is None
+    assert [r["id"] for r in search.allowed_chunks(corpus.chunks, docs, document_id="d3").collect()] == ["c5"]
+    entities = spark.createDataFrame([("d1", "people", "Ann"), ("d3", "people", "Bob")], "document_id string, entity_key string, entity_value string")
+    assert [r["id"] for r in search.allowed_chunks(corpus.chunks, docs, None, {"people": "bo"}, entities).collect()] == ["c5"]
+
+    class Last:
+        def score(self, pairs):
+            return [float("agent" in t) for _, t in pairs]
+
+    assert ids(search.search(corpus, asked, 2, scorer=Last))[0] in ("c3", "c5")
+    diverse = ids(search.search(corpus, asked, 2, diverse=True))
+    assert diverse[0] == "c1" and len(diverse) == 2
+    wide = search.search(corpus, asked, 2, hyde=(Talker, adapters.HashingEmbedder), sources=("main_vector",))
+    assert wide.count() == 2 and {r["source"] for r in wide.select(F.explode("details.source").alias("source")).collect()} == {"main_vector"}
+
+
+def test_respond(spark):
+    corpus, docs = corpus_of(spark)
+    entries = spark.createDataFrame([], respond.CACHE)
+    asked = spark.createDataFrame([("a", "why is water damage covered?"), ("b", "claim photographs")], "q string, text string")
+    models = respond.Models(adapters.HashingEmbedder, Talker)
+    now = F.lit(dt.datetime(2024, 1, 1))
+    out, entries = respond.respond(corpus, docs, entries, asked, models, now, k=3)
+    got = {r["q"]: r for r in out.collect()}
+    assert got["a"]["tier"] == "synthesis" and "Source Chunk" not in got["a"]["answer"][:3] and got["b"]["tier"] == "retrieval" and got["b"]["answer"] is None
+    assert got["a"]["results"][0]["id"] == "c1" and got["a"]["sources"][0]["document_id"] == "d1" and got["a"]["total_results"] == 3
+    entries = spark.createDataFrame(entries.collect(), respond.CACHE)
+    assert entries.count() == 2
+    again, _ = respond.respond(corpus, docs, entries, asked, models, now, k=3)
+    for r in again.collect():
+        assert r["tier"] == "cache" and r["cache_hit"] and r["answer"] == got[r["q"]]["answer"] and r["results"] == got[r["q"]]["results"]
+    other, more = respond.respond(corpus, docs, entries, asked.where("q = 'b'"), models, now, mode="synthesis", k=2)
+    assert other.first()["tier"] == "synthesis" and more.count() == 3  # another mode and k is another question
+    with pytest.raises(ValueError):
+        respond.respond(corpus, docs, entries, asked, models, now, mode="none")
+
+
 def test_chunked_dispatch(spark):
     docs = spark.createDataFrame([("d1", "a.md", "md", "# Top\nText.", None), ("d2", "b.CSV", "CSV", None, None), ("d3", "c.csv", "csv", None, None)], "id string, file_name string, file_type string, reviewed_markdown string, extracted_markdown string")
     content = spark.createDataFrame([("d2", bytearray(b"a,b\n1,x\n2,\n"))], "id string, content binary")
