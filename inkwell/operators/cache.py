@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import domain as D
 from inkwell.functions import text as T
 from inkwell.operators import vectors
+from inkwell.session import plain_unions
 
 
 def cache_key(query: Column, context: str | None = None) -> Column:
@@ -36,8 +37,8 @@ def evict(cache: DataFrame, most: int = D.CACHE_ENTRIES) -> DataFrame:
 
 def put(cache: DataFrame, entries: DataFrame, most: int = D.CACHE_ENTRIES) -> DataFrame:
     """Add or replace entries, then evict."""
-    # dealt anew: a union of two sides that are both dealt by key zips their partitions, which adaptive execution may have merged differently
-    return evict(cache.join(entries.select("key"), "key", "left_anti").unionByName(entries.hint("rebalance")), most)
+    plain_unions(cache.sparkSession)
+    return evict(cache.join(entries.select("key"), "key", "left_anti").unionByName(entries), most)
 
 
 def invalidate(cache: DataFrame, document_id: str) -> DataFrame:

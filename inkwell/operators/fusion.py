@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import domain as D
+from inkwell.session import plain_unions
 
 
 def weight_of(source: Column, profile: Column) -> Column:
@@ -19,6 +20,7 @@ def weight_of(source: Column, profile: Column) -> Column:
 
 def ranked(lists: dict[str, DataFrame]) -> DataFrame:
     """q, source, id, rank, score of several ranked lists (q, id, rank, score)."""
+    plain_unions(next(iter(lists.values())).sparkSession)
     return reduce(DataFrame.unionByName, [df.select("q", F.lit(s).alias("source"), "id", "rank", "score") for s, df in lists.items()])
 
 

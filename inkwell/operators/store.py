@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.operators import bm25
+from inkwell.session import plain_unions
 
 #: child table -> (parent table, key in the child); ids are `id`, or what `KEYS` says.
 PARENTS = {"chunks": ("documents", "document_id"), "pages": ("documents", "document_id"), "chunk_metadata": ("chunks", "chunk_id"), "chunk_questions": ("chunks", "chunk_id"), "vectors": ("chunks", "chunk_id")}
@@ -35,13 +36,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = [c for c in old.columns if c not in new.columns]
     if missing:
         new = new.join(old.select(*keys, *missing), keys, "left")
-    # dealt anew: a union of two sides that are both dealt by the keys zips their partitions, which adaptive execution may have merged differently
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns).hint("rebalance"))
+    plain_unions(old.sparkSession)
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent_key: str) -> DataFrame:
     """The rows of each parent in `new` replace all its old rows; parents without new rows keep theirs."""
-    return old.join(new.select(parent_key).distinct(), parent_key, "left_anti").unionByName(new.hint("rebalance"))
+    plain_unions(old.sparkSession)
+    return old.join(new.select(parent_key).distinct(), parent_key, "left_anti").unionByName(new)
 
 
 def update(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

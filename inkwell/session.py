@@ -16,6 +16,15 @@ ROOT = Path(__file__).resolve().parent.parent
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Keep unions from claiming the partitioning of their sides.
+
+    In Spark 4.1 a union of sides that are dealt alike claims to be dealt so too; where adaptive execution then merges partitions of the
+    sides differently, a join above it fails ("Can't zip RDDs with unequal numbers of partitions").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, unless they find it by PYTHONPATH."""
     sc = spark.sparkContext
@@ -35,6 +44,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        plain_unions(spark)
         return query(spark, sf_dir)
 
     return run
