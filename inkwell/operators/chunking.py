@@ -226,6 +226,33 @@ def breakpoints(parts: DataFrame, threshold: float = 0.72) -> DataFrame:
     return rows.where((F.col("total") >= 3) & (V.dot(F.col("vector"), F.col("next")) < threshold)).groupBy("id").agg(F.array_sort(F.collect_list("end")).alias("breaks"))
 
 
+def numbered(rows: DataFrame, document: str, order: list[str], per_batch: int = ROWS_PER_CHUNK) -> DataFrame:
+    """rows with chunk_index, from 0 within each document, and the batch of `per_batch` that it falls in."""
+    n = F.row_number().over(Window.partitionBy(document).orderBy(*order)) - 1
+    return rows.withColumn("chunk_index", n).withColumn("batch", F.floor(F.col("chunk_index") / per_batch).cast("int"))
+
+
+#: Ranges that a table without groups is numbered in, and about how many rows' keys give their bounds.
+RANGES, RANGE_KEYS = 200, 4000
+
+
+def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 in the order of some columns over the whole table, which no single task sorts.
+
+    The keys of some rows, chosen by hash, bound RANGES ranges; numbers are a range's own beside the count of those before.
+    """
+    key = F.struct(*order)
+    every = max(1, rows.count() // RANGE_KEYS)
+    some = rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*order).distinct().orderBy(*order).limit(2 * RANGE_KEYS)
+    got = some.withColumn("_i", F.row_number().over(Window.orderBy(*order))).where(F.col("_i") % max(1, 2 * RANGE_KEYS // RANGES) == 0).drop("_i")
+    bounds = got.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_bounds"))  # one row of RANGES keys at most
+    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    counts = dealt.groupBy("_range").count()
+    before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, own).join(F.broadcast(before), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
 def row_text(columns: list[str], number: Column) -> Column:
     """`Row n: a=1, b=2`, null cells left out."""
     cells = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]
@@ -238,9 +265,9 @@ def row_batches(rows: DataFrame, columns: list[str], order: list[str], group: st
     Rows are numbered from 1 within `group` (a file or sheet; without one, the whole table is one file).
     """
     keys = [group] if group else []
-    n = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order))
-    numbered = rows.withColumn("_n", n).withColumn("_batch", F.floor((F.col("_n") - 1) / per_chunk).cast("int"))
-    lines = numbered.select(*keys, "_batch", "_n", row_text(columns, F.col("_n")).alias("_line"))
+    every = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))) if group else row_numbers(rows, order, "_n")
+    every = every.withColumn("_batch", F.floor((F.col("_n") - 1) / per_chunk).cast("int"))
+    lines = every.select(*keys, "_batch", "_n", row_text(columns, F.col("_n")).alias("_line"))
     lists = lines.groupBy(*keys, "_batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]).alias("_lines"))
     header = "Columns: " + ", ".join(columns)
 

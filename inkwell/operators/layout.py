@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import domain as D
@@ -114,13 +114,13 @@ def filter_boxes(boxes: np.ndarray, labels: list[str], scores: np.ndarray, cfg:
     return np.array(kept, dtype=int), scores, stats
 
 
-def _by_page(detections: DataFrame, extra: list[str], fn: Callable[[list[dict], dict], list[tuple]], element: str) -> DataFrame:
+def _by_page(detections: DataFrame, extra: dict[str, Column], fn: Callable[[list[dict], dict], list[tuple]], element: str) -> DataFrame:
     """Each page's boxes (in list order) through fn, which returns rows of `element`; whole pages travel in Arrow batches, so small pages cost little.
 
-    extra: columns that are the same on all of a page's rows.
+    extra: aggregates of a page's rows.
     """
     boxes = F.array_sort(F.collect_list(F.struct("pos", F.col("bbox").cast("array<double>").alias("bbox"), "label", F.col("confidence").cast("double").alias("confidence"))))
-    pages = detections.groupBy(*PAGE).agg(boxes.alias("boxes"), *[F.first(c).alias(c) for c in extra])
+    pages = detections.groupBy(*PAGE).agg(boxes.alias("boxes"), *[c.alias(name) for name, c in extra.items()])
     names = [x.strip().split(" ")[0] for x in element.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def filter_detections(detections: DataFrame, cfg: BoxConfig | None = None) -> Da
         removed = ",".join(f"{k}={v}" for k, v in sorted(stats["removed_by_label"].items()))
         return [(boxes[i]["pos"], boxes[i]["bbox"], boxes[i]["label"], float(c), *(stats[k] for k in counts), removed) for i, c in zip(keep.tolist(), scores, strict=True)]
 
-    return _by_page(detections, [], run, "pos int, bbox array<double>, label string, confidence double, " + ", ".join(f"{c} int" for c in counts) + ", removed_by_label string")
+    return _by_page(detections, {}, run, "pos int, bbox array<double>, label string, confidence double, " + ", ".join(f"{c} int" for c in counts) + ", removed_by_label string")
 
 
 @dataclass(frozen=True)
@@ -251,15 +251,15 @@ class _Page:
             return edge, 0.0
         return edge, m * m * (1 - overlap) + edge + drop / m + abs(self.c[a, 0] - self.c[b, 0]) / m / m
 
-    def order(self) -> tuple[list[int], list[bool]]:
-        """All elements in reading order, and which of them span the layout."""
+    def order(self, limit: float | None = None) -> tuple[list[int], list[bool]]:
+        """All elements in reading order, and which of them span the layout; limit: the page's spanning width, if it is known."""
         n = len(self.labels)
         masked = [i for i in range(n) if self.labels[i] in self.cfg.premask]
         plain = [i for i in range(n) if self.labels[i] not in self.cfg.premask]
         wide = [False] * n
         if plain:
             widths = {i: self.b[i, 2] - self.b[i, 0] for i in plain}
-            limit = self.cfg.spanning_factor * statistics.median(widths.values())
+            limit = self.cfg.spanning_factor * statistics.median(widths.values()) if limit is None else limit
             for i in plain:
                 wide[i] = bool(widths[i] >= limit or widths[i] >= self.w * self.cfg.page_share or self.labels[i] in self.cfg.spanning)
         groups = self.segments([i for i in plain if not wide[i]], (0.0, 0.0, self.w, self.h))
@@ -278,6 +278,24 @@ class _Page:
         return line, wide
 
 
+def spanning_limit(cfg: OrderConfig) -> Column:
+    """An aggregate: the width from which a page's box spans the layout, by the median of those that are not masked."""
+    width = F.element_at("bbox", 3).cast("double") - F.element_at("bbox", 1).cast("double")
+    return cfg.spanning_factor * F.median(F.when(~F.col("label").isin(*sorted(cfg.premask)), width))
+
+
+def spanning_limits(detections: DataFrame, cfg: OrderConfig | None = None) -> DataFrame:
+    """document_id, page_number, spanning_limit."""
+    return detections.groupBy(*PAGE).agg(spanning_limit(cfg or OrderConfig()).alias("spanning_limit"))
+
+
+def removed_counts(filtered: DataFrame) -> DataFrame:
+    """label, removed over all pages of filter_detections' rows."""
+    pages = filtered.select(*PAGE, "removed_by_label").distinct().where("removed_by_label <> ''")
+    each = pages.select(F.explode(F.split("removed_by_label", ",")).alias("x"))
+    return each.groupBy(F.substring_index("x", "=", 1).alias("label")).agg(F.sum(F.substring_index("x", "=", -1).cast("long")).alias("removed"))
+
+
 def reading_order(detections: DataFrame, cfg: OrderConfig | None = None) -> DataFrame:
     """document_id, page_number, pos, bbox, label, confidence, reading_order (from 1), is_cross_layout.
 
@@ -287,7 +305,7 @@ def reading_order(detections: DataFrame, cfg: OrderConfig | None = None) -> Data
 
     def run(boxes: list[dict], page: dict) -> list[tuple]:
         labels = [x["label"] for x in boxes]
-        line, wide = _Page(np.array([x["bbox"] for x in boxes], dtype=float), labels, float(page["page_width"]), float(page["page_height"]), cfg).order()
+        line, wide = _Page(np.array([x["bbox"] for x in boxes], dtype=float), labels, float(page["page_width"]), float(page["page_height"]), cfg).order(page["_limit"])
         return [(boxes[i]["pos"], boxes[i]["bbox"], boxes[i]["label"], boxes[i]["confidence"], k, wide[i]) for k, i in enumerate(line, 1)]
 
-    return _by_page(detections, ["page_width", "page_height"], run, "pos int, bbox array<double>, label string, confidence double, reading_order int, is_cross_layout boolean")
+    return _by_page(detections, {"page_width": F.first("page_width"), "page_height": F.first("page_height"), "_limit": spanning_limit(cfg)}, run, "pos int, bbox array<double>, label string, confidence double, reading_order int, is_cross_layout boolean")

@@ -17,7 +17,7 @@ from inkwell.functions import geometry as G
 from inkwell.functions import text as T
 from inkwell.functions import vectors as V
 from inkwell.operators import bm25, cache, chunking, diversity, filters, fusion, layout, profile, store, tree, vectors
-from inkwell.plans import search
+from inkwell.plans import adapters, search
 from inkwell.sources import files
 from inkwell.streaming import watch
 
@@ -129,11 +129,18 @@ def distinct_documents(spark, sf_dir):
     return _documents(spark, sf_dir).select(F.col("source").alias("document_id")).distinct()
 
 
-@query("SELECT doc_id, text IS NOT NULL AND length(text) > 0 AS has_markdown, coalesce(quality, -1) AS quality, l.doc_id IS NOT NULL AS has_layout FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id AS id, lang AS processing_status, quality AS page_count, l.doc_id IS NOT NULL AS has_layout, nullif(text, '') IS NOT NULL AS has_markdown FROM documents d LEFT JOIN labels l USING (doc_id)")
 def processing_status(spark, sf_dir):
-    l = table(spark, sf_dir, "labels").withColumn("has_layout", F.lit(True))
-    j = _documents(spark, sf_dir).select("doc_id", "text").join(l, "doc_id", "left")
-    return j.select("doc_id", (F.col("text").isNotNull() & (F.length("text") > 0)).alias("has_markdown"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("has_layout", F.lit(False)).alias("has_layout"))
+    l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("page_count"), F.lit("[]").alias("layout_data"))
+    d = _documents(spark, sf_dir).join(l, "doc_id", "left")
+    return store.processing_status(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("processing_status"), "page_count", "layout_data", F.nullif("text", F.lit("")).alias("extracted_markdown")))
+
+
+@query("SELECT user_id AS document_id, event_id AS page_number, (event_id % 4)::INT AS n_detections, (event_id % 7)::INT AS n_unfiltered, greatest(0, event_id % 7 - event_id % 4)::INT AS n_removed FROM events")
+def page_info(spark, sf_dir):
+    boxes = lambda n: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), (F.col("event_id") % n).cast("int")), ","), F.lit("]"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("page_number"), boxes(4).alias("layout"), boxes(7).alias("unfiltered_layout"))
+    return store.page_info(e)
 
 
 # --- tokens and BM25 -----------------------------------------------------------------------------------------------
@@ -141,8 +148,8 @@ def processing_status(spark, sf_dir):
 
 @query(f"WITH w AS (SELECT unnest({_words('text')}) AS w FROM documents) SELECT {T.stem_sql('w')} AS term, count(*) AS n FROM w GROUP BY 1")
 def tokenize_stem_counts(spark, sf_dir):
-    w = _documents(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("w"))
-    return w.groupBy(T.stem(F.col("w")).alias("term")).agg(F.count("*").alias("n"))
+    w = T.exploded_words(_documents(spark, sf_dir), F.col("text")).groupBy("w").agg(F.count("*").alias("n"))
+    return w.groupBy(T.stem(F.col("w")).alias("term")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents) SELECT doc_id, len(ws) AS dl, len(list_distinct(ws)) AS n_distinct FROM d")
@@ -164,7 +171,22 @@ def bm25_matched_keywords(spark, sf_dir):
     return hits.select("q", "id", F.col("rank").cast("long").alias("rank"), F.array_join("keywords", " ").alias("keywords"))
 
 
-@query()
+def _list(words) -> str:
+    return "[" + ", ".join(T.quoted(w) for w in words) + "]"
+
+
+def _case(column: str, table: dict[str, list[str]]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {T.quoted(k)} THEN {_list(dict.fromkeys(v))}" for k, v in table.items()) + " ELSE []::VARCHAR[] END"
+
+
+_ACRONYM_WORDS = {a: [w for w in v.split() if len(w) >= 2 and w not in D.STOPWORDS] for a, v in D.ACRONYMS.items()}
+_ACRONYM_SQL = f"CASE x[1] " + " ".join(f"WHEN {T.quoted(k)} THEN {_list(v) if v else '[]::VARCHAR[]'}" for k, v in _ACRONYM_WORDS.items()) + " END"
+
+
+# a running list of terms; each step sees one word x[1] and its stem x[2]
+@query(f"""WITH w AS (SELECT item_id, list_transform({_words('text')}, lambda w: [w, {T.stem_sql('w')}]) AS ws FROM benchmark)
+    SELECT item_id, array_to_string(list_reduce(ws, lambda acc, x: CASE WHEN x[1] IN ({', '.join(map(T.quoted, D.ACRONYMS))}) THEN list_concat(acc, {_ACRONYM_SQL})
+    ELSE list_concat(list_concat(acc, [x[2]]), list_filter({_case('x[2]', {k: [T._stem(w) for w in v] for k, v in D.SYNONYMS.items()})}, lambda m: NOT list_contains(list_concat(acc, [x[2]]), m))) END, []::VARCHAR[]), ' ') AS terms FROM w""")
 def tokens_expanded(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.analyse(F.col("text")), " ").alias("terms"))
 
@@ -183,9 +205,9 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(_vector_sql(1000000007, 30))
+@query(_vector_sql(50, 30))
 def vector_topk(spark, sf_dir):
-    return _out(vectors.top_k(_vectors(spark, sf_dir), _probes(spark, sf_dir, 1000000007), 30, "vec_id", "embedding"))
+    return _out(vectors.top_k(_vectors(spark, sf_dir), _probes(spark, sf_dir, 50), 30, "vec_id", "embedding"))
 
 
 @query(_vector_sql(50, 10))
@@ -295,28 +317,68 @@ def rerank_minmax_blend(spark, sf_dir):
     return r.select("q", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, hw AS (SELECT fr.q, fr.id, fr.rank, fr.score FROM fr WHERE fr.rank <= 10)
-    SELECT hw.q, hw.id, d.source AS document_id, hw.rank, round(hw.score, 9) AS score, left(d.text, 500) AS chunk_text FROM hw JOIN documents d ON d.doc_id = hw.id""")
+def _corpus(spark: SparkSession, sf_dir: str, kinds: bool) -> search.Corpus:
+    """Documents as chunks of their source; vectors all `main` or, with kinds, of three types by label; the category is that of a label."""
+    v = _vectors(spark, sf_dir)
+    kind = F.element_at(F.array(F.lit("main"), F.lit("summary"), F.lit("question")), (F.col("label") % 3 + 1).cast("int")) if kinds else F.lit("main")
+    d = _documents(spark, sf_dir)
+    l = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "procedure").otherwise("narrative").alias("category"))
+    chunks = d.join(l, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), "text", "category")
+    return search.Corpus(chunks, v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("chunk_id"), kind.alias("vector_type"), F.col("embedding").alias("vector")), bm25.build(d, "doc_id", F.col("text")))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), "q")
+
+
+_PREFERRED = "[" + ", ".join(f"CASE WHEN {_any('lower(text)', ks)} THEN '{c}' END" for c, ks in D.CATEGORIES.items()) + "]"
+_BOOSTED_SQL = f"""pq AS (SELECT item_id AS q, {_PREFERRED} AS preferred FROM benchmark JOIN embeddings ON vec_id = item_id),
+    hb AS (SELECT fr.q, fr.id, fr.rank, source AS document_id, text, CASE WHEN fr.rank <= {D.BOOST_WINDOW} AND list_contains(preferred, CASE quality WHEN 1 THEN 'procedure' ELSE CASE WHEN l.doc_id IS NOT NULL THEN 'narrative' END END) THEN fr.score * {D.BOOST} ELSE fr.score END AS score
+      FROM fr JOIN pq USING (q) JOIN documents d ON d.doc_id = fr.id LEFT JOIN labels l ON l.doc_id = fr.id WHERE fr.rank <= {D.BOOST_WINDOW} + 20),
+    ho AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, rank) AS n FROM hb)"""
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, {_BOOSTED_SQL} SELECT q, id, document_id, n AS rank, round(score, 9) AS score, left(text, 500) AS chunk_text FROM ho WHERE n <= 10""")
 def hybrid_search(spark, sf_dir):
-    f = fusion.rrf(_lists(spark, sf_dir)).where("rank <= 10").select("q", "id", "rank", "score")
-    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.substring("text", 1, 500).alias("chunk_text"))
-    return f.join(d, "id").select("q", "id", "document_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "chunk_text")
+    """The search as users run it: main vectors and BM25, fusion, category boost."""
+    r = search.search(_corpus(spark, sf_dir, False), _asked_vectors(spark, sf_dir), 10, sources=("main_vector", "bm25"))
+    return r.select("q", "id", "document_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), F.substring("chunk_text", 1, 500).alias("chunk_text"))
+
+
+class _LengthScorer:
+    """A stand-in for a cross-encoder that SQL can follow: the length of the text, by parts of 97."""
+
+    def score(self, pairs):
+        return [float(len(t) % 97) for _, t in pairs]
+
+
+@query(f"""WITH {_BM25_SQL}, {_LISTS_SQL}, {_BOOSTED_SQL}, rt AS (SELECT *, (length(text) % 97)::DOUBLE AS pair FROM ho WHERE n <= 20),
+    rs AS (SELECT *, min(pair) OVER (PARTITION BY q) AS lo, max(pair) OVER (PARTITION BY q) AS hi FROM rt),
+    z AS (SELECT q, id, document_id, n, 0.7 * CASE WHEN hi > lo THEN (pair - lo) / (hi - lo) ELSE 0.5 END + 0.3 * score AS blended FROM rs),
+    o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(blended, 12) DESC, n) AS rank FROM z)
+    SELECT q, id, document_id, rank, round(blended, 9) AS score FROM o WHERE rank <= 10""")
+def hybrid_search_reranked(spark, sf_dir):
+    """The same with the first 20 re-ranked."""
+    r = search.search(_corpus(spark, sf_dir, False), _asked_vectors(spark, sf_dir), 10, scorer=_LengthScorer, sources=("main_vector", "bm25"))
+    return r.select("q", "id", "document_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
 @query()
 def hybrid_search_full(spark, sf_dir):
-    """All four lists: main, summary and question vectors (by vec_id mod 3) and BM25, typed weights, boost and highlights."""
-    d = _documents(spark, sf_dir)
-    v = _vectors(spark, sf_dir)
-    kind = F.element_at(F.array(F.lit("main"), F.lit("summary"), F.lit("question")), (F.col("label") % 3 + 1).cast("int"))
-    chunks = d.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), "text", F.lit("procedure").alias("category"))
-    corpus = search.Corpus(chunks, v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("chunk_id"), kind.alias("vector_type"), F.col("embedding").alias("vector")), bm25.build(d, "doc_id", F.col("text")))
-    asked = _asked(spark, sf_dir).join(v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), "q")
-    r = search.search(corpus, asked, 10, by_type=True)
+    """All four lists: main, summary and question vectors (by label) and BM25, typed weights, boost, re-ranking, diversity and highlights."""
+    r = search.search(_corpus(spark, sf_dir, True), _asked_vectors(spark, sf_dir), 10, by_type=True, scorer=adapters.OverlapScorer, diverse=True)
     return r.select("q", "id", "document_id", "rank", F.round("score", 9).alias("score"), F.array_join("highlights", " | ").alias("highlights"))
 
 
-@query()
+@query(f"""WITH RECURSIVE sc AS (SELECT a.vec_id AS q, b.vec_id AS id, a.embedding::DOUBLE[] AS qv, b.embedding::DOUBLE[] AS v, round({_dot('a.embedding', 'b.embedding')}, 12) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+    c AS MATERIALIZED (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS unit,
+      list_inner_product(qv, v) / (sqrt(list_inner_product(v, v)) + 1e-9) / (sqrt(list_inner_product(qv, qv)) + 1e-9) AS relevance FROM sc QUALIFY rank <= 40),
+    s(q, id, rank, step, near, picked) AS (
+      SELECT q, id, rank, 0, 0.0::DOUBLE, 0::BIGINT FROM c
+      UNION ALL (WITH n AS (SELECT s.*, unit, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN picked = 0 THEN round(0.7 * relevance - 0.3 * near, 12) END DESC NULLS LAST, rank) AS place FROM s JOIN c USING (q, id, rank)),
+        b AS (SELECT q, unit AS best FROM n WHERE place = 1 AND picked = 0)
+        SELECT q, id, rank, step + 1, CASE WHEN step = 0 THEN list_inner_product(unit, best) ELSE greatest(near, list_inner_product(unit, best)) END, CASE WHEN place = 1 THEN step + 1 ELSE picked END FROM n JOIN b USING (q) WHERE step < 10))
+    SELECT q, id, 1.0::DOUBLE - (picked - 1) / 10.0::DOUBLE * 0.5 AS score, picked::INT AS rank FROM s WHERE step = 10 AND picked > 0""")
 def mmr_select(spark, sf_dir):
     v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = _probes(spark, sf_dir, 50)
@@ -342,8 +404,8 @@ def query_intent(spark, sf_dir):
     s AS (SELECT doc_id, query, n, greatest(0, place - 50) AS s, least(length(text), place + length(term) + 50) AS e, text FROM a)
     SELECT doc_id, query, string_agg((CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(text, s + 1, e - s) || (CASE WHEN e < length(text) THEN '...' ELSE '' END), ' | ' ORDER BY n) AS highlights FROM s GROUP BY ALL""")
 def highlights(spark, sf_dir):
-    q = _documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array(F.lit("the"), F.lit("and on"))).alias("query"))
-    return q.select("doc_id", "query", F.array_join(T.highlights(F.col("text"), F.col("query")), " | ").alias("highlights")).where("highlights <> ''")
+    q = _documents(spark, sf_dir).select("doc_id", "text", F.lower("text").alias("low"), F.explode(F.array(F.lit("the"), F.lit("and on"))).alias("query"))
+    return q.select("doc_id", "query", F.array_join(T.highlights(F.col("text"), F.col("query"), low=F.col("low")), " | ").alias("highlights")).where("highlights <> ''")
 
 
 _MODELS = ["gpt-5-mini-2025-08-07", "gpt-5.1-x", "o3-2025", "gpt-4o-mini", "other-model", "gemini-2.5-flash-001"]
@@ -391,17 +453,23 @@ def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey = 7").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks with their labels as metadata and the turns of the conversation of their number as questions."""
+    chunks = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
+    metadata = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality", "toxic", F.lit("{}").alias("entities"))
+    questions = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chunk_id"), F.concat_ws(":", "turn", "role").alias("question"))
+    return store.with_details(chunks, metadata, questions)
+
+
+@query("SELECT d.doc_id AS id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def chunk_metadata_join(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return _detailed(spark, sf_dir).drop("questions")
 
 
-@query("""SELECT n_nationkey AS id, n_name, coalesce(x.n, 0) AS n_questions, coalesce(x.questions, '') AS questions FROM nation LEFT JOIN
-    (SELECT s_nationkey, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS questions FROM supplier GROUP BY 1) x ON s_nationkey = n_nationkey""")
+@query("""SELECT doc_id AS id, coalesce(n, 0) AS n_questions, coalesce(qs, '') AS questions FROM documents LEFT JOIN
+    (SELECT conv_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS qs FROM (SELECT conv_id, concat_ws(':', turn, role) AS x FROM conversations) GROUP BY 1) ON conv_id = doc_id""")
 def chunk_with_questions(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("qs"))
-    j = table(spark, sf_dir, "nation").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return j.select(F.col("n_nationkey").alias("id"), "n_name", F.coalesce("n", F.lit(0)).alias("n_questions"), F.coalesce("qs", F.lit("")).alias("questions"))
+    return _detailed(spark, sf_dir).select("id", F.coalesce(F.size("questions"), F.lit(0)).cast("long").alias("n_questions"), F.coalesce(F.array_join("questions", ","), F.lit("")).alias("questions"))
 
 
 # --- trees ---------------------------------------------------------------------------------------------------------
@@ -442,14 +510,19 @@ def child_chunks(spark, sf_dir):
 # --- segmentation --------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)
-    SELECT doc_id, len(ss) AS n_sentences, max(len(x)) AS longest FROM (SELECT doc_id, ss, unnest(ss) AS x FROM s) GROUP BY doc_id, len(ss)""")
-def sentence_split(spark, sf_dir):
-    s = _documents(spark, sf_dir).select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("ss"))
-    return s.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.array_max(F.transform("ss", F.length)).cast("long").alias("longest"))
-
-
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)),
+    t AS (SELECT doc_id, i, trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM p),
+    g AS (SELECT doc_id, i, p, length(p) > 1500 AS big, sum((length(p) > 1500)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM t WHERE p <> ''),
+    x AS (SELECT doc_id, i, 0 AS j, p AS t, 2 * run AS grp, chr(10) || chr(10) AS glue FROM g WHERE NOT big
+      UNION ALL SELECT doc_id, i, generate_subscripts(ss, 1), trim(unnest(ss), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 2 * run - 1, ' '
+      FROM (SELECT doc_id, i, run, string_split(replace(regexp_replace(p, '([.?!]) ', '\1|', 'g'), '|', chr(1)), chr(1)) AS ss FROM g WHERE big)),
+    a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM x WHERE t <> ''),
+    r(doc_id, n, grp, c, held) AS (SELECT doc_id, n, grp, 0, length(t) + length(glue) FROM a WHERE n = 1
+      UNION ALL SELECT a.doc_id, a.n, a.grp, CASE WHEN a.grp = r.grp AND held + length(t) <= 1500 THEN c ELSE c + 1 END,
+        CASE WHEN a.grp = r.grp AND held + length(t) <= 1500 THEN held ELSE 0 END + length(t) + length(glue) FROM r JOIN a ON a.doc_id = r.doc_id AND a.n = r.n + 1),
+    k AS (SELECT doc_id, c, CASE WHEN any_value(glue) = ' ' THEN string_agg(t, ' ' ORDER BY n) ELSE string_agg(t, chr(10) || chr(10) ORDER BY n) END AS text FROM r JOIN a USING (doc_id, n) GROUP BY doc_id, c),
+    h AS (SELECT doc_id, c, text, sha256(concat(doc_id, ':', c))[:16] AS chunk_id FROM k)
+    SELECT doc_id AS document_id, c AS chunk_index, chunk_id, text, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY c)""")
 def paragraph_chunks(spark, sf_dir):
     return chunking.linked(chunking.paragraph_chunks(_documents(spark, sf_dir)))
 
@@ -469,11 +542,10 @@ def semantic_sentences(spark, sf_dir):
     return rows.select("doc_id", F.col("piece_index").alias("n"), F.col("piece.a").alias("start"), F.col("piece.z").alias("end"), F.sha2("piece.s", 256).alias("sentence_id"))
 
 
-@query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, lag(role) OVER w AS prev_role FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+@query("""WITH c AS (SELECT source AS document_id, doc_id AS chunk_index, sha256(concat(doc_id, ':', 0))[:16] AS chunk_id FROM documents)
+    SELECT *, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)""")
 def chunk_links_lag_lead(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), F.lag("role").over(w).alias("prev_role"))
+    return chunking.linked(_documents(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"), T.short_id(F.col("doc_id"), F.lit(0)).alias("chunk_id")))
 
 
 @query(f"""WITH s AS (SELECT label, vec_id, {_dot('lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)', 'embedding')} AS sim FROM embeddings)
@@ -492,6 +564,20 @@ def row_batch_text(spark, sf_dir):
     return b.select("s_nationkey", "batch", "text")
 
 
+# rows whose batches are over 3000 characters
+@query("""WITH RECURSIVE n AS (SELECT source, doc_id, replace(left(text, 150), chr(10), ' ') AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    l AS (SELECT source, n, (n - 1) // 50 AS batch, (n - 1) % 50 AS i, 'Row ' || n || ': ' || concat_ws(', ', 'doc_id=' || doc_id, 'words=' || words) AS line FROM n),
+    w AS (SELECT source, batch, sum(length(line) + 1) + 22 > 3000 AS cut FROM l GROUP BY ALL),
+    a AS MATERIALIZED (SELECT l.*, cut FROM l JOIN w USING (source, batch)),
+    r(source, batch, i, part, held) AS (SELECT source, batch, i, 0, length(line) + 1 FROM a WHERE i = 0
+      UNION ALL SELECT a.source, a.batch, a.i, CASE WHEN NOT cut OR held + length(line) + 1 <= 3000 - 22 THEN part ELSE part + 1 END, CASE WHEN NOT cut OR held + length(line) + 1 <= 3000 - 22 THEN held ELSE 0 END + length(line) + 1
+      FROM r JOIN a ON a.source = r.source AND a.batch = r.batch AND a.i = r.i + 1)
+    SELECT source, batch::INT AS batch, part, 'Columns: doc_id, words' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM r JOIN a USING (source, batch, i) GROUP BY source, batch, part""")
+def row_batch_split(spark, sf_dir):
+    d = _documents(spark, sf_dir).select("source", "doc_id", F.replace(F.substring("text", 1, 150), F.lit("\n"), F.lit(" ")).alias("words"))
+    return chunking.row_batches(d, ["doc_id", "words"], ["doc_id"], "source")
+
+
 @query("""WITH w AS (SELECT conv_id, turn, role, text, lag(left(text, 40)) OVER w AS before, lead(left(text, 40)) OVER w AS after FROM conversations
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
     SELECT conv_id, turn, concat_ws(chr(10), 'Document: conv-' || conv_id, 'Type: ' || role, 'Section: turn ' || turn, 'Key info: id=' || conv_id,
@@ -528,19 +614,26 @@ def sample_values(spark, sf_dir):
     return profile.first_values(table(spark, sf_dir, "part"), ["p_partkey"], _SAMPLED)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN count(*) = 0 THEN 'text' WHEN bool_and(coalesce(try_cast(v AS TIMESTAMP), try_strptime(v, '%m/%d/%Y')) IS NOT NULL) THEN 'date_string' WHEN bool_or(regexp_matches(v, '[$€£¥₹]')) THEN 'currency' ELSE 'text' END AS looks_like FROM (SELECT {c}::VARCHAR AS v FROM orders WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 10)" for c in ("o_orderpriority", "o_orderdate", "o_orderstatus")))
 def column_kinds(spark, sf_dir):
     return profile.text_kinds(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderpriority", "o_orderdate", "o_orderstatus"])
 
 
-@query()
-def table_description(spark, sf_dir):
-    return profile.describe_text(table(spark, sf_dir, "part"), "part", ["p_partkey"])
+_PART = {"p_partkey": "integer", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "integer", "p_retailprice": "decimal"}
 
 
-@query("SELECT quantile_cont(l_extendedprice, 0.5) AS median_price, 1.3 * quantile_cont(l_quantity, 0.5) AS width_threshold FROM lineitem")
-def median_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.median("l_extendedprice").alias("median_price"), (1.3 * F.median("l_quantity")).alias("width_threshold"))
+def _described(c: str, kind: str) -> str:
+    """One column's line of a table's description."""
+    missing = f"CASE WHEN count(*) > count({c}) THEN ', ' || (count(*) - count({c})) || ' missing' ELSE '' END"
+    if kind != "text":
+        return f"(SELECT '- {c} ({kind}): ' || format('range {{:,.2f}} to {{:,.2f}}, mean {{:,.2f}}', min({c})::DOUBLE, max({c})::DOUBLE, avg({c})) || {missing} FROM part)"
+    few = f"(SELECT ', values ' || string_agg(v, ',' ORDER BY k, v) FROM (SELECT {c} AS v, min(p_partkey) AS k FROM part WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY k, v LIMIT 5))"
+    return f"(SELECT '- {c} (text): ' || count(DISTINCT {c}) || ' distinct' || CASE WHEN count(DISTINCT {c}) <= 10 THEN {few} ELSE '' END || {missing} FROM part)"
+
+
+@query("SELECT 'Table part: ' || (SELECT count(*) FROM part) || ' rows' || chr(10) || concat_ws(chr(10), " + ", ".join(_described(c, k) for c, k in _PART.items()) + ") AS description")
+def table_description(spark, sf_dir):
+    return profile.describe_text(table(spark, sf_dir, "part"), "part", ["p_partkey"])
 
 
 # --- layout --------------------------------------------------------------------------------------------------------
@@ -554,10 +647,11 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 10 * 60
     box = F.array(x, y, x + 40 + F.col("l_quantity") * 4, y + 20 + F.col("l_linenumber") * 12).cast("array<double>")
     label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS) + 1).cast("int"))
-    return l.select(F.lit("d").alias("document_id"), F.col("l_orderkey").cast("int").alias("page_number"), F.col("l_linenumber").cast("int").alias("pos"), box.alias("bbox"), label.alias("label"), (F.lit(0.2) + F.col("l_quantity") / 100).alias("confidence"))
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return l.select(F.lit("d").alias("document_id"), F.col("l_orderkey").cast("int").alias("page_number"), pos.alias("pos"), box.alias("bbox"), label.alias("label"), (F.lit(0.2) + F.col("l_quantity") / 100).alias("confidence"))
 
 
-_BOX_SQL = f"""b AS (SELECT l_orderkey::INT AS page_number, l_linenumber::INT AS pos, (l_partkey % 400)::DOUBLE AS x1, (l_suppkey % 10 * 60)::DOUBLE AS y1,
+_BOX_SQL = f"""b AS (SELECT l_orderkey::INT AS page_number, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))::INT AS pos, l_quantity, (l_partkey % 400)::DOUBLE AS x1, (l_suppkey % 10 * 60)::DOUBLE AS y1,
     l_partkey % 400 + 40 + l_quantity * 4 AS x2, l_suppkey % 10 * 60 + 20 + l_linenumber * 12.0::DOUBLE AS y2, {_LABELS}[(l_partkey % {len(_LABELS)})::INT + 1] AS label FROM lineitem),
     p AS (SELECT a.page_number, a.pos AS a, c.pos AS c, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (c.x2 - c.x1) * (c.y2 - c.y1) AS sc,
     greatest(0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i,
@@ -580,14 +674,66 @@ def containment_pairs(spark, sf_dir):
     return p.withColumn("s", small).where("s >= 0.85").select("page_number", "a", "c", F.round("s", 6).alias("containment"))
 
 
-@query()
+_RANK_SQL = "CASE label " + " ".join(f"WHEN '{x}' THEN {D.BOX_PRIORITY[x]}" for x in _LABELS if x in D.BOX_PRIORITY) + f" ELSE {layout.OTHER_PRIORITY} END"
+_NESTED_SQL = " OR ".join(f"(lo = '{a}' AND li = '{b}')" for a, b in D.NESTED_LABELS)
+# A page's boxes are bits. ns: the pairs of a box mostly inside another, in list order, with the set of those gone and that at the
+# first box's turn; ks: the rest, best first, with the set kept.
+_NMS_SQL = f"""WITH RECURSIVE {_BOX_SQL},
+    bx AS MATERIALIZED (SELECT page_number, pos, label, x1, y1, x2, y2, 0.2 + l_quantity / 100 AS confidence, {_RANK_SQL} AS rk, (1::BIGINT << pos) AS bit, (x2 - x1) * (y2 - y1) AS s
+      FROM b),
+    pr AS MATERIALIZED (SELECT p.page_number, a, c, i, sa, sc, i / (sa + sc - i) AS iou, x.label AS la, y.label AS lc, x.rk AS ra, y.rk AS rc FROM p JOIN bx x ON x.page_number = p.page_number AND x.pos = a JOIN bx y ON y.page_number = p.page_number AND y.pos = c),
+    np AS (SELECT page_number, a, c, CASE WHEN sa < sc THEN a ELSE c END AS inner_, CASE WHEN sa < sc THEN la ELSE lc END AS li, CASE WHEN sa < sc THEN lc ELSE la END AS lo, CASE WHEN sa < sc THEN ra ELSE rc END AS ri, CASE WHEN sa < sc THEN rc ELSE ra END AS ro
+      FROM pr WHERE least(sa, sc) > 0 AND least(sa, sc) >= 0.1 * greatest(sa, sc) AND i >= 0.85 * least(sa, sc)),
+    nq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY a, c) AS k FROM np WHERE NOT ({_NESTED_SQL}) AND ro <= ri),
+    ns(page_number, k, a, gone, start, dropped) AS (SELECT DISTINCT page_number, 0::BIGINT, -1, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM bx
+      UNION ALL SELECT n.page_number, n.k, n.a, CASE WHEN hit THEN gone | (1::BIGINT << inner_) ELSE gone END, begun, CASE WHEN hit THEN list_append(dropped, li) ELSE dropped END
+      FROM (SELECT nq.page_number, nq.k, nq.a, inner_, li, gone, dropped, CASE WHEN nq.a = ns.a THEN start ELSE gone END AS begun,
+        ((CASE WHEN nq.a = ns.a THEN start ELSE gone END) >> nq.a) & 1 = 0 AND (gone >> nq.c) & 1 = 0 AS hit FROM ns JOIN nq ON nq.page_number = ns.page_number AND nq.k = ns.k + 1) n),
+    nl AS (SELECT page_number, arg_max(gone, k) AS gone, arg_max(dropped, k) AS dropped FROM ns GROUP BY 1),
+    le AS MATERIALIZED (SELECT bx.*, row_number() OVER (PARTITION BY page_number ORDER BY rk, confidence DESC, pos) AS k FROM bx JOIN nl USING (page_number) WHERE (gone >> pos) & 1 = 0),
+    rv AS MATERIALIZED (SELECT le.page_number, le.pos, coalesce(bit_or(CASE WHEN iou > 0.5 THEN 1::BIGINT << (CASE WHEN a = le.pos THEN c ELSE a END) END), 0) AS rivals FROM le LEFT JOIN pr ON pr.page_number = le.page_number AND i > 0 AND (a = le.pos OR c = le.pos) GROUP BY ALL),
+    ks(page_number, k, kept, lost) AS (SELECT page_number, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM nl
+      UNION ALL SELECT le.page_number, le.k, CASE WHEN kept & rivals = 0 THEN kept | bit ELSE kept END, CASE WHEN kept & rivals = 0 THEN lost ELSE list_append(lost, label) END FROM ks JOIN le ON le.page_number = ks.page_number AND le.k = ks.k + 1 JOIN rv ON rv.page_number = le.page_number AND rv.pos = le.pos),
+    kl AS (SELECT page_number, max(kept) AS kept, arg_max(lost, k) AS lost, max(k) AS n_left FROM ks GROUP BY 1),
+    fp AS MATERIALIZED (SELECT page_number, gone, kept, list_concat(dropped, lost) AS removed, n_in, n_left, bit_count(kept) AS n_kept FROM nl JOIN kl USING (page_number) JOIN (SELECT page_number, count(*) AS n_in FROM bx GROUP BY 1) USING (page_number))"""
+
+
+def _removed_sql(removed: str) -> str:
+    return f"array_to_string(list_transform(list_sort(list_distinct({removed})), lambda x: x || '=' || len(list_filter({removed}, lambda y: y = x))), ',')"
+
+
+def _plain_boxes(found: DataFrame) -> DataFrame:
+    return found.select("page_number", "pos", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], "label", F.round("confidence", 6).alias("confidence"), "input_count", "output_count", "containment_removed", "iou_removed", "soft_nms_removed", "removed_by_label")
+
+
+@query(f"""{_NMS_SQL} SELECT page_number, pos, x1, y1, x2, y2, label, round(confidence, 6) AS confidence, n_in::INT AS input_count, n_kept::INT AS output_count, (n_in - n_left)::INT AS containment_removed, (n_left - n_kept)::INT AS iou_removed,
+    0 AS soft_nms_removed, {_removed_sql('removed')} AS removed_by_label FROM bx JOIN fp USING (page_number) WHERE (kept >> pos) & 1 = 1""")
 def nms_filter(spark, sf_dir):
-    return layout.filter_detections(_boxes(spark, sf_dir))
+    return _plain_boxes(layout.filter_detections(_boxes(spark, sf_dir)))
 
 
-@query()
+@query(f"{_NMS_SQL} SELECT x AS label, count(*) AS removed FROM (SELECT unnest(removed) AS x FROM fp) GROUP BY 1")
+def removed_by_label(spark, sf_dir):
+    return layout.removed_counts(layout.filter_detections(_boxes(spark, sf_dir)))
+
+
+# pairs of kept boxes in list order; the scores of a page's boxes are a list by pos
+@query(f"""{_NMS_SQL},
+    sp AS MATERIALIZED (SELECT pr.page_number, a, c, ra, rc, iou, row_number() OVER (PARTITION BY pr.page_number ORDER BY a, c) AS k FROM pr JOIN fp USING (page_number) WHERE i > 0 AND (kept >> a) & 1 = 1 AND (kept >> c) & 1 = 1),
+    ss(page_number, k, scores) AS (SELECT page_number, 0::BIGINT, list_transform(range(1, 64), lambda j: coalesce(list_filter(l, lambda z: z.pos = j)[1].confidence, 0.0::DOUBLE)) FROM (SELECT page_number, list({{'pos': pos, 'confidence': confidence}}) AS l FROM bx GROUP BY 1)
+      UNION ALL SELECT sp.page_number, sp.k, list_transform(scores, lambda z, j: CASE WHEN j = CASE WHEN ra < rc OR ra = rc AND scores[a] > scores[c] THEN c ELSE a END THEN z * exp(-(iou * iou) / 0.3) ELSE z END) FROM ss JOIN sp ON sp.page_number = ss.page_number AND sp.k = ss.k + 1),
+    sl AS (SELECT page_number, arg_max(scores, k) AS scores FROM ss GROUP BY 1),
+    st AS (SELECT bx.*, scores[pos] AS score, n_in, n_left, n_kept, removed FROM bx JOIN fp USING (page_number) JOIN sl USING (page_number) WHERE (kept >> pos) & 1 = 1),
+    sd AS (SELECT page_number, count(*) FILTER (score >= 0.1) AS n_out, list_concat(any_value(removed), coalesce(list(label) FILTER (score < 0.1), [])) AS gone_ FROM st GROUP BY 1)
+    SELECT page_number, pos, x1, y1, x2, y2, label, round(score, 6) AS confidence, n_in::INT AS input_count, n_out::INT AS output_count, (n_in - n_left)::INT AS containment_removed, (n_left - n_kept)::INT AS iou_removed,
+    (n_kept - n_out)::INT AS soft_nms_removed, {_removed_sql('gone_')} AS removed_by_label FROM st JOIN sd USING (page_number) WHERE score >= 0.1""")
 def soft_nms(spark, sf_dir):
-    return layout.filter_detections(_boxes(spark, sf_dir), layout.BoxConfig.service())
+    return _plain_boxes(layout.filter_detections(_boxes(spark, sf_dir), layout.BoxConfig.service()))
+
+
+@query(f"WITH {_BOX_SQL} SELECT page_number, round(1.3 * quantile_cont(x2 - x1, 0.5), 6) AS spanning_limit FROM b GROUP BY 1 HAVING true".replace("quantile_cont(x2 - x1, 0.5)", "quantile_cont(CASE WHEN label NOT IN ('title', 'figure', 'table') THEN x2 - x1 END, 0.5)"))
+def median_threshold(spark, sf_dir):
+    return layout.spanning_limits(_boxes(spark, sf_dir)).select("page_number", F.round("spanning_limit", 6).alias("spanning_limit"))
 
 
 @query()
@@ -705,16 +851,16 @@ def region_crops(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[b[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query("SELECT CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'R' THEN 'table' ELSE 'figure' END AS label, count(*) AS removed FROM lineitem WHERE l_quantity < 10 GROUP BY 1")
-def removed_by_label(spark, sf_dir):
-    label = F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "R", "table").otherwise("figure")
-    return table(spark, sf_dir, "lineitem").where("l_quantity < 10").groupBy(label.alias("label")).agg(F.count("*").alias("removed"))
-
-
 @query("SELECT source AS document_id, doc_id, (row_number() OVER w - 1)::INT AS chunk_index, ((row_number() OVER w - 1) // 50)::INT AS batch FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def chunk_numbers(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return _documents(spark, sf_dir).select(F.col("source").alias("document_id"), "doc_id", n.alias("chunk_index"), F.floor(n / 50).cast("int").alias("batch"))
+    return chunking.numbered(_documents(spark, sf_dir).select(F.col("source").alias("document_id"), "doc_id"), "document_id", ["doc_id"])
+
+
+@query("SELECT CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN CASE WHEN doc_id % 35 = 0 THEN 'failed' ELSE 'processed' END ELSE 'skipped' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
+def reindex_counts(spark, sf_dir):
+    found = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"))
+    known = found.where("id % 5 <> 0").withColumn("file_hash", F.when(F.col("id") % 7 == 0, F.lit("old")).otherwise(F.col("file_hash")))
+    return store.reindex(found, known, found.where("id % 35 = 0"))
 
 
 _PROFILES = [p for p in D.WEIGHTS if p != "default"]

@@ -148,7 +148,7 @@ def refined(chunks: DataFrame, make: Callable[[], adapters.Embedder], size: int
         at = F.expr("locate(text, contextualized_text)")
         moved = F.concat(F.when(at > 1, F.expr("substring(contextualized_text, 1, locate(text, contextualized_text) - 1)")).otherwise(""), F.col("_piece"))
         rows = rows.withColumn("contextualized_text", F.when(F.col("_cut"), moved).otherwise(F.col("contextualized_text")))
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "_n")) - 1
-    rows = rows.withColumn("chunk_index", number).withColumn("chunk_id", F.when(F.col("_cut"), F.concat_ws("_", "chunk_id", "_n")).otherwise(F.col("chunk_id"))).withColumn("text", F.col("_piece"))
+    rows = chunking.numbered(rows.withColumnRenamed("chunk_index", "_old"), "document_id", ["_old", "_n"]).drop("_old", "batch")
+    rows = rows.withColumn("chunk_id", F.when(F.col("_cut"), F.concat_ws("_", "chunk_id", "_n")).otherwise(F.col("chunk_id"))).withColumn("text", F.col("_piece"))
     out = chunking.linked(rows.drop("_pieces", "_n", "_piece", "_cut", "breaks"))
     return chunking.boundaries(adapters.embedded(out, "text", make), threshold).drop("vector")
