@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import plain_unions
+
 #: Rows in one Arrow batch handed to Python; bounds the memory of a worker on tables of long texts.
 BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows, so that a batch of long texts fits a Python worker."""
+    """Hold Arrow batches to BATCH_ROWS rows, so that a batch of long texts fits a Python worker; and unions plain."""
+    plain_unions(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000") or 10000) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

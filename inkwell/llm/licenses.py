@@ -120,7 +120,7 @@ class Scanner:
             best, k = None, i
             if s and s.split(" ", 1)[0] in self.starts:
                 while True:
-                    if s in self.ids:
+                    if s in self.ids and (best is None or best[0] != self.ids[s]):
                         best = (self.ids[s], start, parts[k][1], k)
                     if s not in self.begins or k + 1 >= len(parts):
                         break

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-#: The others hold learned scores, seeded choices or hashes of token ids, which SQL can't express.
+#: The others hold learned scores, Spark's own hashes (op8's seeded order), patterns with look-around and possessive parts (op5's base
+#: spans), token ids or all pairs of whole texts: tests/llm compares them with brute force.
 SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}

@@ -413,6 +413,73 @@ def test_route():
         assert not changed
 
 
+def brute_licences(text, scanner):
+    """Sentences and rules by definition: at each segment the longest run of segments that is a known sentence; then the longest rule."""
+    segments, start = [], 0
+    for line in re.split(r"(\n)", text):
+        if line != "\n":
+            at = start
+            for m in re.finditer(r".+?(?:[.;:!?](?=\s|$)|$)", line):
+                end = m.end()
+                # a mark ends a sentence before white space only, the line's end being some
+                segments.append((start + m.start(), start + end, re.sub("[^0-9a-z]+", " ", m.group().lower()).strip()))
+            start = at
+        start += len(line)
+    known = {re.sub("[^0-9a-z]+", " ", v.lower()).strip(): k for k, v in licenses.SENTENCES.items()}
+    found, i = [], 0
+    while i < len(segments):
+        runs = [(j, " ".join(filter(None, (s[2] for s in segments[i : j + 1])))) for j in range(i, min(len(segments), i + 40))]
+        hits = [(j, known[s]) for j, s in runs if segments[i][2] and s in known]
+        if hits:
+            name = hits[-1][1]
+            j = min(k for k, other in hits if other == name)
+            found.append((name, segments[i][0], segments[j][1]))
+            i = j
+        i += 1
+    out, i = [], 0
+    while i < len(found):
+        rules = [(len(ids), n, name) for n, (name, ids) in enumerate(licenses.RULES) if tuple(f[0] for f in found[i : i + len(ids)]) == ids]
+        if rules:
+            width, _, name = min(rules, key=lambda r: (-r[0], r[1]))
+            out.append((name, found[i][1], found[i + width - 1][2]))
+            i += width - 1
+        i += 1
+    return found, out
+
+
+def test_licences_against_brute_force(spark):
+    r = random.Random(31)
+    names = list(licenses.SENTENCES)
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(r.randint(0, 7)):
+            s = licenses.SENTENCES[r.choice(names)] if r.random() < 0.6 else r.choice(["Some prose here", "Licensed under nothing", "MIT", "and more: of it; yes", ""])
+            words = s.split(" ")
+            for _ in range(r.randint(0, 2)):  # wrapped lines
+                k = r.randrange(len(words))
+                words[k] = words[k] + r.choice(["\n", " ", "  "])
+            parts.append(" ".join(words).replace("\n ", "\n") + r.choice([".", ".", "", "!", ";"]))
+        if r.random() < 0.3:  # a whole rule
+            parts += [licenses.SENTENCES[x] + "." for x in r.choice(licenses.RULES)[1]]
+        rows.append((i, r.choice(["\n", " ", "\n\n"]).join(parts) or None))
+    scanner = licenses.Scanner()
+    for got in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found, out = brute_licences(rows[got["doc_id"]][1] or "", scanner)
+        assert got["n_sentences"] == len(found) and got["spans"] == ",".join(f"{a}:{s}:{e}" for a, s, e in out), rows[got["doc_id"]]
+        assert got["licenses"] == ",".join(sorted({x[0] for x in out}))
+
+
+def test_scan_edges(docs, no_docs):
+    """Row by row: null, empty and very long texts, repeated rows and ids, columns with clashing names."""
+    for scan, direct in ((licenses.scan, lambda t: len(licenses.Scanner().sentences(t))), (secrets.scan, lambda t: len(secrets.candidates(t)))):
+        got = sorted(((x[0], x[1]) for x in scan(docs).collect()), key=str)
+        assert got == sorted(((i, direct(t or "")) for i, t, _ in ROWS), key=str)
+        assert scan(no_docs).count() == 0
+    got = sorted(((x["doc_id"], x["n_email"], x["base_sha256"]) for x in pii.find(docs).collect()), key=str)
+    assert got == sorted(((i, 0, hashlib.sha256(b"").hexdigest()) for i, _, _ in ROWS), key=str)
+
+
 def subsets(names):
     return [[n for i, n in enumerate(names) if k >> i & 1] for k in range(1 << len(names))]
 
