@@ -527,6 +527,18 @@ def paragraph_chunks(spark, sf_dir):
     return chunking.linked(chunking.paragraph_chunks(_documents(spark, sf_dir)))
 
 
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '([.!?])(\s+)([A-Z])', '\1' || chr(2) || '\2' || chr(3) || '\3', 'g'), '([.!?])(\s*\n+)', '\1' || chr(2) || '\2' || chr(3), 'g') AS t FROM documents),
+    e AS (SELECT doc_id, text, unnest(ss) AS e, generate_subscripts(ss, 1) AS k, len(ss) AS total FROM (SELECT doc_id, text, string_split(t, chr(2)) AS ss FROM m)),
+    w AS (SELECT *, length(e) - (k > 1)::INT AS own, CASE WHEN k > 1 THEN instr(e, chr(3)) - 1 ELSE 0 END AS gap FROM e),
+    p AS (SELECT *, sum(own) OVER (PARTITION BY doc_id ORDER BY k) - own + gap AS a FROM w),
+    z AS (SELECT doc_id, k, a, CASE WHEN k < total THEN a + own - gap + 1 ELSE length(text) END AS z, text FROM p),
+    s AS (SELECT doc_id, k, a, z, trim(substring(text, a::INT + 1, (z - a)::INT), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM z)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS n, a::INT AS start, z::INT AS "end", sha256(s) AS sentence_id FROM s WHERE length(s) > 10""")
+def semantic_sentences(spark, sf_dir):
+    rows = chunking.exploded(_documents(spark, sf_dir).select("doc_id", "text"), "text", lambda t: [{"s": s, "a": a, "z": z} for s, a, z in chunking.sentences(t)], "struct<s:string,a:int,z:int>")
+    return rows.select("doc_id", F.col("piece_index").alias("n"), F.col("piece.a").alias("start"), F.col("piece.z").alias("end"), F.sha2("piece.s", 256).alias("sentence_id"))
+
+
 @query()
 def markdown_chunks(spark, sf_dir):
     """Conversations as markdown: a heading for each turn, the text under it."""
@@ -536,12 +548,6 @@ def markdown_chunks(spark, sf_dir):
     return chunking.hierarchical_chunks(docs)
 
 
-@query()
-def semantic_sentences(spark, sf_dir):
-    rows = chunking.exploded(_documents(spark, sf_dir).select("doc_id", "text"), "text", lambda t: [{"s": s, "a": a, "z": z} for s, a, z in chunking.sentences(t)], "struct<s:string,a:int,z:int>")
-    return rows.select("doc_id", F.col("piece_index").alias("n"), F.col("piece.a").alias("start"), F.col("piece.z").alias("end"), F.sha2("piece.s", 256).alias("sentence_id"))
-
-
 @query("""WITH c AS (SELECT source AS document_id, doc_id AS chunk_index, sha256(concat(doc_id, ':', 0))[:16] AS chunk_id FROM documents)
     SELECT *, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)""")
 def chunk_links_lag_lead(spark, sf_dir):
