@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import held, map_rows
 
-#: Pieces that a worker remembers before it goes on with those of the present block (about 250 bytes each).
-CACHE_PIECES = 300_000
+#: Pieces that a worker remembers before it goes on with those of the present block (about 230 bytes each); the same for a frugal one.
+CACHE_PIECES, FRUGAL_PIECES = 900_000, 150_000
 #: Pieces in one recursive query (or ten times as many bytes); characters of texts that are split and encoded together.
 BLOCK_PIECES, BLOCK_CHARS = 40_000, 4_000_000
 #: Bytes cached at most; bytes from which a piece is cut into segments, and of a segment at first; bytes up to which
@@ -359,7 +359,7 @@ def _blocks(texts: list[str], chars: int = BLOCK_CHARS):
 def _codec(shared, frugal: bool = False) -> Codec:
     """This worker's codec of a broadcast vocabulary."""
     v = shared.value
-    how = (CACHE_PIECES // 2, BLOCK_PIECES // 2) if frugal else (CACHE_PIECES, BLOCK_PIECES)
+    how = (FRUGAL_PIECES, BLOCK_PIECES // 2) if frugal else (CACHE_PIECES, BLOCK_PIECES)
     return held(f"bpe {hash((v.pattern, len(v.tokens), v.tokens[-64:], frugal))}", lambda: Codec(v, *how))
 
 
