@@ -1,6 +1,6 @@
 """Fixed values of the insurance domain: word lists, dictionaries and weights that results depend on."""
 
-# Fixed values.
+# Words that are not indexed.
 STOPWORDS = (
     "a an the and or but in on at to for of with by from as is was are were been be have has had do does did will would "
     "could should may might must shall can need it its this that these those i you he she we they what which who whom when "
@@ -9,6 +9,7 @@ STOPWORDS = (
     "further any being having doing"
 ).split()
 
+# Acronyms and their words.
 ACRONYMS = {
     "coi": "certificate of insurance",
     "acord": "association for cooperative operations research and development",
@@ -56,6 +57,7 @@ ACRONYMS = {
     "qsr": "quota share reinsurance",
 }
 
+# Words and what they are searched with.
 SYNONYMS = {
     "policy": ["coverage", "plan", "contract"],
     "premium": ["rate", "cost", "price", "payment"],
@@ -79,7 +81,7 @@ SYNONYMS = {
     "indemnity": ["compensation", "reimbursement"],
 }
 
-#: (suffix, replacement), tried in this order.
+# Fixed values: (suffix, replacement), tried in this order.
 SUFFIXES = [
     ("ational", "ate"), ("tional", "tion"), ("encies", "ence"), ("ancies", "ance"), ("iveness", "ive"), ("fulness", "ful"),
     ("ousness", "ous"), ("ization", "ize"), ("isation", "ise"), ("ating", "ate"), ("izing", "ize"), ("ising", "ise"),
@@ -88,6 +90,7 @@ SUFFIXES = [
     ("ies", "y"), ("es", ""), ("ed", ""), ("ly", ""), ("er", ""), ("s", ""),
 ]
 
+# Keywords of document types, of categories, of queries that want an answer, of query types.
 DOC_TYPES = {
     "policy_wording": ["policy wording", "policy document", "terms and conditions", "coverage terms", "policy terms", "wording"],
     "endorsement": ["endorsement", "amendment", "rider", "addendum", "policy change", "modification"],
@@ -121,7 +124,7 @@ QUERY_TYPES = [
 ]
 
 SOURCES = ("main_vector", "summary_vector", "question_vector", "bm25")
-#: Fusion weights by query type, in the order of SOURCES.
+# Fusion weights by query type, in the order of SOURCES.
 WEIGHTS = {
     "default": (0.40, 0.15, 0.20, 0.25),
     "factual": (0.35, 0.10, 0.20, 0.35),
@@ -132,7 +135,7 @@ WEIGHTS = {
 RRF_K, BOOST, BOOST_WINDOW = 30, 1.3, 50
 CACHE_SIMILARITY, CACHE_TTL, CACHE_ENTRIES = 0.92, 3600, 2000
 
-#: USD for a million tokens: model -> (input, output).
+# USD for a million tokens: model -> (input, output).
 PRICES = {
     "gpt-5.2": (1.75, 14.00), "gpt-5.1": (1.25, 10.00), "gpt-5": (1.25, 10.00), "gpt-5-mini": (0.25, 2.00), "gpt-5-nano": (0.05, 0.40),
     "gpt-4.1": (2.00, 8.00), "gpt-4.1-mini": (0.40, 1.60), "gpt-4.1-nano": (0.10, 0.40), "gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60),
@@ -140,7 +143,12 @@ PRICES = {
     "gemini-2.5-flash": (0.15, 0.60), "gemini-2.5-pro": (1.25, 10.00),
 }
 
-#: Keys that chunk entities may have; categories that chunk metadata may have.
+# Keys that chunk entities may have.
+ENTITY_KEYS = (
+    "policy_numbers", "claim_numbers", "insured_names", "coverage_types", "premium_amounts", "deductibles", "coverage_limits", "effective_dates",
+    "expiration_dates", "agents", "carriers", "risk_types", "locations", "exclusions", "conditions",
+)
+# Categories that chunk metadata may have; priorities of box labels, pairs that may be nested, captions' parents.
 CHUNK_CATEGORIES = ("procedure", "definition", "data", "example", "reference", "narrative")
 BOX_PRIORITY = {
     "title": 0, "section-header": 1, "table": 2, "figure": 2, "isolate_formula": 2, "text": 3, "plain text": 3, "table_caption": 4,

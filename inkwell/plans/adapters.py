@@ -111,7 +111,10 @@ def embedded(df: DataFrame, text_column: str, make: Callable[[], Embedder], vect
 
 
 def completed(df: DataFrame, prompt: Column, make: Callable[[], LanguageModel], column: str = "reply", batch: int = 5) -> DataFrame:
-    """df with a model's reply to a prompt column, asked `batch` at a time; a failed batch gives empty replies."""
+    """df with a model's reply to a prompt column, asked `batch` at a time.
+
+    Where a batch fails its prompts are asked one by one; one that fails on its own has an empty reply.
+    """
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -122,8 +125,12 @@ def completed(df: DataFrame, prompt: Column, make: Callable[[], LanguageModel],
                 some = s.iloc[at : at + batch].fillna("").tolist()
                 try:
                     out += model.complete(some)
-                except Exception:  # one bad reply must not lose the partition
-                    out += [""] * len(some)
+                except Exception:  # one bad prompt must not lose the others
+                    for one in some:
+                        try:
+                            out += model.complete([one])
+                        except Exception:
+                            out.append("")
             yield pd.Series(out)
 
     return df.withColumn(column, run(prompt))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import domain as D
 from inkwell.functions import text as T
-from inkwell.operators import bm25, chunking
+from inkwell.operators import bm25, chunking, filters
 from inkwell.plans import adapters
 from inkwell.sources import tabular
 from inkwell.sources.files import is_tabular
@@ -23,11 +23,14 @@ PROMPT_LENGTH = 6000
 
 
 def enriched(chunks: DataFrame, make: Callable[[], adapters.LanguageModel]) -> DataFrame:
-    """chunk_id, title, summary, keywords (10), category, questions (5) of each chunk; unknown categories become null."""
+    """chunk_id, title, summary, keywords (10), category, questions (5), entities (known keys) of each chunk; unknown categories become null.
+
+    A chunk whose reply doesn't parse has nulls, and failed says so.
+    """
     prompt = F.concat(F.lit("Describe this chunk as JSON.\n---\n"), F.substring("text", 1, 3000))
     got = adapters.completed(chunks, prompt, make).withColumn("r", adapters.parse_json(F.col("reply"), REPLY))
     category = F.lower(F.trim("r.category"))
-    return got.select("chunk_id", "r.title", "r.summary", F.slice("r.keywords", 1, 10).alias("keywords"), F.when(category.isin(*D.CHUNK_CATEGORIES), category).alias("category"), F.slice("r.questions", 1, 5).alias("questions"))
+    return got.select("chunk_id", "r.title", "r.summary", F.slice("r.keywords", 1, 10).alias("keywords"), F.when(category.isin(*D.CHUNK_CATEGORIES), category).alias("category"), F.slice("r.questions", 1, 5).alias("questions"), filters.clean_entities(F.col("r.entities"), list(D.ENTITY_KEYS)).alias("entities"), F.col("r.title").isNull().alias("failed"))
 
 
 def documents_enriched(documents: DataFrame, make: Callable[[], adapters.LanguageModel], files: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import bm25, cache, diversity, filters, fusion, store, vectors
-from inkwell.plans import adapters, answers, index, respond, search
+from inkwell.plans import adapters, answers, index, pages, respond, search
 from inkwell.streaming import watch
 
 
@@ -252,6 +252,66 @@ def test_respond(spark):
         respond.respond(corpus, docs, entries, asked, models, now, mode="none")
 
 
+class Printer:
+    def count(self, document):
+        return len(self.sizes(document))
+
+    def sizes(self, document):
+        if document == b"broken":
+            raise ValueError("no pages")
+        return [(100.0, 200.0)] * len(document.split(b"|"))
+
+    def render(self, document, page, dpi=150):
+        part = document.split(b"|")[page - 1]
+        if part == b"torn":
+            raise ValueError("torn page")
+        return b"%d:" % dpi + part
+
+
+class Finder:
+    def detect(self, images, confidence=0.2, size=1024):
+        return [[("title", 0.9, 0, 0, 50, 10), ("text", 0.8, 0, 20, 50, 60), ("text", 0.7, 0, 21, 50, 60), ("table", 0.9, 0, 80, 50, 120)] if b"full" in x else [] for x in images]
+
+
+class Reader:
+    def read(self, kind, images):
+        if b"bad" in images[0]:
+            raise ValueError
+        return [f"{kind} of {images[0].decode()}"]
+
+
+def test_pages(spark):
+    docs = spark.createDataFrame([("a", bytearray(b"full 1|empty|torn")), ("b", bytearray(b"broken")), ("c", bytearray(b"full 2"))], "id string, content binary")
+    got = pages.rendered(docs, Printer).orderBy("document_id", "page_number").collect()
+    assert [(r["document_id"], r["page_number"], r["error"]) for r in got] == [("a", 1, None), ("a", 2, None), ("a", 3, "torn page"), ("b", None, "no pages"), ("c", 1, None)]
+    assert bytes(got[0]["image"]) == b"150:full 1" and got[0]["width"] == 100
+    shown = pages.rendered(docs, Printer)
+    assert pages.detected(shown, Finder).count() == 8
+    kept = pages.detections(shown, Finder)
+    assert sorted((r["document_id"], r["pos"]) for r in kept.collect()) == [(d, n) for d in "ac" for n in (0, 1, 3)]
+    assert kept.first()["input_count"] == 4 and kept.first()["output_count"] == 3
+    rows = [("a", 1, 1, "title", b"x", " Top "), ("a", 1, 2, "table", b"cells", None), ("a", 1, 3, "figure", b"bad", None), ("a", 2, 1, "text", b"words", ""), ("a", 2, 2, "text", None, None), ("a", 2, 3, "isolate_formula", b"bad", None)]
+    read = pages.regions_read(spark.createDataFrame([(*r[:4], bytearray(r[4]) if r[4] else None, r[5]) for r in rows], "document_id string, page_number int, reading_order int, label string, image binary, own_text string"), Reader)
+    assert [r["text"] for r in read.orderBy("page_number", "reading_order").collect()] == ["Top", "table of cells", "[Figure]", "text of words", "", "[Formula could not be extracted]"]
+    assert pages.pages_markdown(read).first()["markdown"].startswith("# Top\n\ntable of cells\n\n[Figure]\n\ntext of words")
+    text = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("b", 1, None)], "document_id string, page_number int, text string")
+    assert {r["document_id"]: r["text"] for r in pages.plain_text(text).collect()} == {"a": "--- Page 1 ---\none\n\n--- Page 2 ---\ntwo", "b": "--- Page 1 ---\n"}
+
+
+class Picky:
+    def complete(self, prompts):
+        if any("poison" in p for p in prompts):
+            raise ValueError
+        return [json.dumps({"title": "t", "summary": "s", "entities": {"agents": ["Ann "], "unknown": ["x"]}}) for _ in prompts]
+
+
+def test_one_bad_prompt(spark):
+    chunks = spark.createDataFrame([(str(i), "poison" if i == 2 else "fine") for i in range(5)], "chunk_id string, text string").coalesce(1)
+    got = {r["chunk_id"]: r for r in index.enriched(chunks, Picky).collect()}
+    assert [got[str(i)]["failed"] for i in range(5)] == [False, False, True, False, False] and got["0"]["title"] == "t"
+    assert got["0"]["entities"] == {"agents": ["Ann"]}
+
+
 def test_chunked_dispatch(spark):
     docs = spark.createDataFrame([("d1", "a.md", "md", "# Top\nText.", None), ("d2", "b.CSV", "CSV", None, None), ("d3", "c.csv", "csv", None, None)], "id string, file_name string, file_type string, reviewed_markdown string, extracted_markdown string")
     content = spark.createDataFrame([("d2", bytearray(b"a,b\n1,x\n2,\n"))], "id string, content binary")
