@@ -25,6 +25,7 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame  # term, df, idf (negative ones at the floor)
+    ids: DataFrame | None = None  # of all documents, with terms or without
 
 
 def terms_of(text: Column, expand: bool) -> Column:
@@ -40,16 +41,20 @@ def build(docs: DataFrame, id_column: str, text: Column, expand: bool = False) -
     else:
         counts = T.exploded_words(docs, text, F.col(id_column).alias("id")).groupBy("id", "w").agg(F.count("*").alias("n"))
         postings = counts.select("id", T.stem(F.col("w")).alias("term"), "n").where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.sum("n").alias("tf"))
+    return _indexed(postings, docs.select(F.col(id_column).alias("id")))
+
+
+def _indexed(postings: DataFrame, ids: DataFrame) -> Index:
     # both aggregates read all columns of postings, so that they and the scoring share one exchange
     own = postings.groupBy("id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("dl"))
-    lengths = docs.select(F.col(id_column).alias("id")).join(own, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    lengths = ids.join(own, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     # one row of corpus statistics
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, terms)
+    return Index(postings, lengths, terms, ids)
 
 
 def _bucket(term: Column) -> Column:
@@ -57,11 +62,20 @@ def _bucket(term: Column) -> Column:
 
 
 def write(index: Index, path: str) -> None:
-    """Write an index under a folder; postings and terms lie in folders by the hash of the term."""
-    for name in ("postings", "terms"):
-        rows = getattr(index, name).withColumn("bucket", _bucket(F.col("term")))
-        rows.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    """Write an index under a folder; postings and terms lie in folders by the hash of the term, in files of the advisory partition size.
+
+    Postings come first, and the rest is made from what was written, so the texts are read once.
+    """
+
+    def by_term(df: DataFrame, name: str) -> None:
+        rows = df.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket")
+        rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    by_term(index.postings, "postings")
+    if index.ids is not None:
+        index = _indexed(index.postings.sparkSession.read.parquet(f"{path}/postings").drop("bucket"), index.ids)
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    by_term(index.terms, "terms")
 
 
 def read(spark: SparkSession, path: str) -> Index:
