@@ -164,7 +164,7 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
     total = rows.count()
     share = min(1.0, (1.05 * n + 5 * n**0.5) / max(1, total))
     h = F.xxhash64("id", "x", F.lit(SEED))
-    some = rows.where(F.shiftrightunsigned(h, 1).cast("double") <= share * float(1 << 63)) if share < 1 else rows
+    some = rows.where(h.cast("double") <= share * 2.0**64 - 2.0**63) if share < 1 else rows  # the least of signed hashes, as in the order below
     got = some.select("id", "x").distinct().select("x", h.alias("h"), "id").orderBy("h", "id").limit(n).collect()
     return np.array([r["x"] for r in got])
 

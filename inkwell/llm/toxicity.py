@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         share = (1.05 * n + 5 * n**0.5) / max(1, counts.get(y, 0))
         some = known.where(F.col("y") == y)
         if share < 1:
-            some = some.where(F.shiftrightunsigned(first, 1).cast("double") <= share * float(1 << 63))
+            some = some.where(first.cast("double") <= share * 2.0**64 - 2.0**63)  # the least of signed hashes, as in the order below
         chosen += [(r["id"], y) for r in some.orderBy(first, "id").limit(n).select("id").collect()]
     few = docs.sparkSession.createDataFrame(chosen, "id long, y int")  # at most TOXIC + ORDINARY ids
     # of the texts of a repeated id the one of least hash
