@@ -117,3 +117,48 @@ def test_frames(spark):
     assert [(r["page_number"], r["pos"]) for r in sorted(got, key=lambda r: (r["page_number"], r["pos"]))] == [(1, 0), (1, 2), (2, 0), (2, 2)]
     assert {r["containment_removed"] for r in got} == {1}
     assert sorted((r["page_number"], r["reading_order"]) for r in L.reading_order(df).collect()) == [(p, i) for p in (1, 2) for i in (1, 2, 3)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9).flatmap(lambda n: st.lists(st.lists(st.tuples(st.sampled_from(["text", "Table", "title", "figure", "figure_caption", "odd"]), box, st.sampled_from([0.15, 0.3, 0.5, 0.9])), min_size=n, max_size=n), min_size=1, max_size=6)), st.booleans(), st.booleans())
+def test_pages_together_are_as_each_alone(pages, soft, across):
+    cfg = L.BoxConfig(soft=soft, sigma=0.3, across_labels=across)
+    names = sorted({a.lower() for p in pages for a, *_ in p})
+    boxes = np.array([[[x, y, x + w, y + h] for _, (x, y, w, h), _ in p] for p in pages], dtype=float)
+    scores = np.array([[c for *_, c in p] for p in pages])
+    stay, score, removed, stats = L.filter_pages(boxes, np.array([[names.index(a.lower()) for a, *_ in p] for p in pages]), names, scores, cfg)
+    for i, p in enumerate(pages):
+        idx, left, s = L.filter_boxes(boxes[i], [a for a, *_ in p], scores[i], cfg)
+        assert np.flatnonzero(stay[i]).tolist() == idx.tolist() and score[i][idx].tolist() == pytest.approx(left.tolist())
+        assert {names[k]: c for k, c in enumerate(removed[i].tolist()) if c} == s.pop("removed_by_label")
+        assert {k: int(v[i]) for k, v in stats.items()} == s
+
+
+def test_flat_rows_over_batches(spark):
+    """Pages of 1 to 70 boxes in Arrow batches of 16 rows: each page as it is alone, and none collected into lists."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for p, n in enumerate((1, 2, 33, 7, 70, 7, 1, 15, 16, 17)):
+        for i in range(n):
+            x, y, w, h = rng.integers(1, 90, 4).tolist()
+            rows.append((str(p % 2), p // 2, i, [float(x), float(y), float(x + w), float(y + h)], ["text", "Title", "table"][int(rng.integers(3))], float(rng.random()), 150, 150))
+    df = spark.createDataFrame(rows, "document_id string, page_number int, pos int, bbox array<double>, label string, confidence double, page_width int, page_height int").orderBy("confidence")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        kept, read = L.filter_detections(df, L.BoxConfig.service()), L.reading_order(df)
+        for made in (kept, read):
+            assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+        kept, read = kept.collect(), read.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, lines = [], []
+    for page in sorted({r[:2] for r in rows}):
+        own = [r for r in rows if r[:2] == page]
+        idx, scores, s = L.filter_boxes(np.array([r[3] for r in own]), [r[4] for r in own], np.array([r[5] for r in own]), L.BoxConfig.service())
+        text = ",".join(f"{k}={v}" for k, v in sorted(s["removed_by_label"].items()))
+        want += [(*page, own[i][2], own[i][3], own[i][4], round(float(c), 9), s["input_count"], s["output_count"], text) for i, c in zip(idx.tolist(), scores, strict=True)]
+        line, wide = L._Page(np.array([r[3] for r in own]), [r[4] for r in own], 150.0, 150.0, L.OrderConfig()).order()
+        lines += [(*page, own[i][2], k, wide[i]) for k, i in enumerate(line, 1)]
+    assert sorted((r["document_id"], r["page_number"], r["pos"], r["bbox"], r["label"], round(r["confidence"], 9), r["input_count"], r["output_count"], r["removed_by_label"]) for r in kept) == sorted(want)
+    assert sorted((r["document_id"], r["page_number"], r["pos"], r["reading_order"], r["is_cross_layout"]) for r in read) == sorted(lines)
