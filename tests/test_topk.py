@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from inkwell.operators import topk, vectors
+from pyspark.sql import functions as F
+
+from inkwell.operators import bm25, topk, vectors
 
 
 @pytest.mark.parametrize("kind", [int, str])
@@ -46,3 +48,22 @@ def test_a_worker_holds_few_scores(spark, monkeypatch):
     tracemalloc.stop()
     assert peak < 150e6
     assert len(got) == 6000 * 5  # of both batches together
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_bm25_of_whole_texts(spark, twice):
+    """The k best found without postings are those of the postings, keywords and all; rows of one id still meet."""
+    rng = np.random.default_rng(5)
+    words = ["running", "runs", "runner", "the", "a", "x", "Tables", "table,", "été", "b2b", "snake_case", "nations", "national", "q r", "zz\u001czz", "٣٤", "ness", "ings"]
+    docs = [(str(i), " ".join([*rng.choice(words, int(rng.integers(0, 5))).tolist(), f"own{i}"])) for i in range(300)] + [("300", ""), ("301", None), (None, "running")]
+    docs += [("7", "running été")] * twice
+    asked = spark.createDataFrame([("p", "running running tables b2b"), ("n", "national été snake_case the"), ("z", "nothing of it"), ("e", ""), ("s", "zz 34 ٣٤ q r rr")], "q string, text string")
+    made = bm25.build(spark.createDataFrame(docs, "id string, text string"), "id", F.col("text"))
+    got = bm25.score(made, asked, 20, keywords=True)
+    want = bm25.score(bm25.Index(made.postings, made.lengths, made.terms), asked, 20, keywords=True)
+    assert ("Generate" in got._jdf.queryExecution().optimizedPlan().toString()) == twice  # words are not rows
+    rows = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 9), r["keywords"]) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 40
+    assert [r[:3] for r in rows(bm25.score(made, asked, 3, keywords=True))] == [r[:3] for r in rows(want) if r[1] <= 3]
+    none = bm25.build(spark.createDataFrame([], "id string, text string"), "id", F.col("text"))
+    assert bm25.score(none, asked, 3).count() == 0
