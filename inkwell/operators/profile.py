@@ -48,7 +48,7 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def first_values(df: DataFrame, order: list[str], columns: list[str], most: int = 5) -> DataFrame:
     """column_name, sample_values: the first distinct values in row order, comma-joined."""
-    key = F.struct(*order)
+    key = F.struct(*order) if len(order) > 1 else F.col(order[0])  # the least of a plain column is found by hashing
     cell = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]))
     first = df.select(key.alias("k"), cell.alias("x")).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.min("k").alias("k"))
     from pyspark.sql.window import Window
@@ -70,9 +70,17 @@ def text_kinds(df: DataFrame, order: list[str], columns: list[str], sample: int
 
 
 def describe_text(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """One row: a table described in words, a line for each column."""
+    """One row: a table described in words, a line for each column.
+
+    Rows are dealt over all shuffle partitions first, so that what a task holds of columns that are nearly unique (each row
+    gives it a key for each column) is its share of the table, whatever files the table lies in. Values are looked for only
+    in columns of text, where they are shown.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    shown = [f.name for f in df.schema if label(f.dataType) == "text"]
     numbers = numeric(df).select("column_name", F.format_string("range %,.2f to %,.2f, mean %,.2f", "min_value", "max_value", "mean_value").alias("d"))
-    lines = cardinality(df).join(numbers, "column_name", "left").join(first_values(df, order, df.columns), "column_name", "left")
+    lines = cardinality(df).join(numbers, "column_name", "left")
+    lines = lines.join(first_values(df, order, shown), "column_name", "left") if shown else lines.withColumn("sample_values", F.lit(None).cast("string"))
     few = F.when((F.col("n_distinct") <= 10) & (F.col("type_label") == "text"), F.concat(F.lit(", values "), "sample_values")).otherwise("")
     line = F.concat(F.lit("- "), "column_name", F.lit(" ("), "type_label", F.lit("): "), F.coalesce("d", F.concat(F.col("n_distinct").cast("string"), F.lit(" distinct"))), few, F.when(F.col("n_null") > 0, F.concat(F.lit(", "), F.col("n_null").cast("string"), F.lit(" missing"))).otherwise(""))
     places = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
