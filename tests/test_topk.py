@@ -1,13 +1,17 @@
 """The best k of blocks of scores, against sorting them all, and the memory it takes."""
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
+from inkwell.functions import domain as D
+from inkwell.functions import text as T
 from inkwell.operators import bm25, topk, vectors
 
 
@@ -67,3 +71,40 @@ def test_bm25_of_whole_texts(spark, twice):
     assert [r[:3] for r in rows(bm25.score(made, asked, 3, keywords=True))] == [r[:3] for r in rows(want) if r[1] <= 3]
     none = bm25.build(spark.createDataFrame([], "id string, text string"), "id", F.col("text"))
     assert bm25.score(none, asked, 3).count() == 0
+
+
+def test_lowered_texts_have_the_words_of_cleaned_ones(spark):
+    """Every character between two letters, alone and beside one that REPLACED does not judge; and null and empty texts."""
+    texts = ["a" + chr(c) + "bé" + more for c in range(0x11000) if not 0xD800 <= c < 0xE000 for more in ("", " Ωx", " “q”")] + ["", None, " \t\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    rows = df.select(T.cleaned(F.col("text")).alias("clean"), T.lowered(F.col("text")).alias("low")).toArrow()
+    assert [t for t, c in zip(rows["low"].to_pylist(), rows["clean"].to_pylist(), strict=True) if t != c]  # most are not cleaned in Spark
+    known = pa.array(sorted({w for c in rows["clean"].to_pylist() for w in (c or "").split()}))
+    got, want = (bm25._counted(rows[c].combine_chunks(), known) for c in ("low", "clean"))
+    assert all((a == b).all() for a, b in zip(got[:4], want[:4], strict=True))
+
+
+def test_counted_words_are_those_counted_one_by_one():
+    rng = np.random.default_rng(3)
+    ends = [s for s, _ in D.SUFFIXES] + ["", "é", "x"]
+    words = [a + e for a in ("", "a", "été", "run", "𝒳y") for e in ends] + list(D.STOPWORDS[:9])
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 60, 200)]
+    assert T.stems(pa.array(words)).to_pylist() == [T._stem(w) for w in words]
+    text, term, times, length, names = bm25._counted(pa.array(texts))
+    got = {(t, names[n].as_py()): k for t, n, k in zip(text.tolist(), term.tolist(), times.tolist(), strict=True)}
+    want = Counter((i, T._stem(w)) for i, t in enumerate(texts) for w in t.split() if len(w) >= 2 and w not in D.STOPWORDS)
+    assert got == want and length.sum() == sum(want.values())
+    few = pa.array(["run", "été", "nothing"])
+    text, term, times, short, _ = bm25._counted(pa.array(texts), few)
+    assert {(t, few[n].as_py()): k for t, n, k in zip(text.tolist(), term.tolist(), times.tolist(), strict=True)} == {x: k for x, k in want.items() if x[1] in ("run", "été")}
+    assert (short == length).all()
+    assert len(bm25._counted(pa.array(["", None], pa.string()), pa.array([], pa.string()))[0]) == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    """A batch of long texts is counted in parts, each text once; one over the limit is a part of its own."""
+    texts = ["x" * n for n in (bm25.BYTES * 2, 5, bm25.BYTES - 6, 7, 0)] + [None] + ["y"] * (bm25.ROWS + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["low"])
+    parts = [b.column("low").to_pylist() for b in bm25._slices(iter([batch]))]
+    assert sum(parts, []) == texts and [len(p) for p in parts[:2]] == [1, 2]
+    assert all(len(p) <= bm25.ROWS and (len(p) == 1 or sum(len(t or "") for t in p) <= bm25.BYTES) for p in parts)
