@@ -41,3 +41,25 @@ def test_query(spark, db, name):
         rel = db.sql(catalogue.SQL[name])
         assert sorted(df.columns) == sorted(rel.columns)
         assert rows(df.columns, got) == rows(rel.columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_search_reranked", "hybrid_search_full"])
+def test_texts_stay_where_they_are(spark, name):
+    """The join nearest to the chunks' texts is a broadcast of what was found; labels, large as they are, don't meet all texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    met = []
+    for i in (i for i, line in enumerate(plan) if "FileScan" in line and "doc_id#" in line and "text#" in line):
+        above, least = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < least:
+                least = depth(line)
+                above.append(line)
+        nearest = next(line for line in above if "Join" in line or "MapInArrow" in line)
+        met += [nearest] * ("Join" in nearest)  # BM25 scores its texts before they meet anything
+    assert met and all("BroadcastHashJoin" in line for line in met)
