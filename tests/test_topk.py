@@ -1,11 +1,13 @@
 """The best k of blocks of scores, against sorting them all, and the memory it takes."""
 
+import os
 import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -73,6 +75,43 @@ def test_bm25_of_whole_texts(spark, twice):
     assert bm25.score(none, asked, 3).count() == 0
 
 
+def test_texts_of_one_row_group_are_dealt(spark, tmp_path, monkeypatch):
+    """A file's only row group is read by one task; its texts are counted by all cores, those that lie evenly stay. The best are those of the postings."""
+    rng = np.random.default_rng(7)
+    words = np.array(["run", "table", "nation", "part", "order", "étude", "b2b"])
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 6, 4000)]
+    pq.write_table(pa.table({"id": np.arange(4000), "text": texts}), f"{tmp_path}/t.parquet")
+    asked = spark.createDataFrame([(1, "runs table"), (2, "étude orders nation")], "q long, text string")
+    seen, scored = [], bm25._scored
+    monkeypatch.setattr(bm25, "_scored", lambda texts, *a: seen.append(texts.groupBy(F.spark_partition_id()).count().collect()) or scored(texts, *a))
+    docs = spark.read.parquet(f"{tmp_path}/t.parquet")
+    made = bm25.build(docs, "id", F.col("text"))
+    got = bm25.score(made, asked, 20)
+    assert max(r["count"] for r in seen[0]) < 1500 and sum(r["count"] for r in seen[0]) == 4000
+    rows = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(got) == rows(bm25.score(bm25.Index(made.postings, made.lengths, made.terms), asked, 20)) and got.count() == 40
+    even = bm25.build(spark.createDataFrame(pa.table({"id": np.arange(4000), "text": texts})).repartition(8), "id", F.col("text"))
+    assert rows(bm25.score(even, asked, 20)) == rows(got) and len(seen[1]) == 8
+
+
+def test_texts_are_counted_once(spark, tmp_path):
+    """Scores come from what the one pass over the texts kept, and nothing of it is left."""
+
+    def read(t):
+        with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return t
+
+    left = spark.sparkContext._jsc.getPersistentRDDs().size()
+    docs = spark.createDataFrame([(i, f"word{i % 7} run") for i in range(300)], "id long, text string")
+    made = bm25.build(docs, "id", F.udf(read, "string")(F.col("text")))
+    got = bm25.score(made, spark.createDataFrame([(1, "word3 word5"), (2, "word3")], "q long, text string"), 50)
+    assert got.where("q = 2").count() == 43 and got.where("q = 1").count() == 50
+    assert sum(p.stat().st_size for p in tmp_path.iterdir()) == 300
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == left
+    assert bm25.score(made, spark.createDataFrame([(1, "the of"), (2, None)], "q long, text string"), 5).count() == 0
+
+
 def test_lowered_texts_have_the_words_of_cleaned_ones(spark):
     """Every character between two letters, alone and beside one that REPLACED does not judge; and null and empty texts."""
     texts = ["a" + chr(c) + "bé" + more for c in range(0x11000) if not 0xD800 <= c < 0xE000 for more in ("", " Ωx", " “q”")] + ["", None, " \t\n"]
