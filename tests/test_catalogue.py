@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from inkwell.operators import bm25
 from inkwell.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -63,3 +65,13 @@ def test_texts_stay_where_they_are(spark, name):
         nearest = next(line for line in above if "Join" in line or "MapInArrow" in line)
         met += [nearest] * ("Join" in nearest)  # BM25 scores its texts before they meet anything
     assert met and all("BroadcastHashJoin" in line for line in met)
+
+
+@pytest.mark.parametrize("name", ["source_attribution", "category_boost"])
+def test_fused_queries_deal_texts(spark, name, monkeypatch):
+    """The documents' only row group is read by one task; all cores count its texts."""
+    monkeypatch.setattr(bm25, "DEALT_ROWS", 10, raising=False)
+    seen, scored = [], bm25._scored
+    monkeypatch.setattr(bm25, "_scored", lambda texts, *a: seen.extend(texts.groupBy(F.spark_partition_id()).count().collect()) or scored(texts, *a))
+    assert catalogue.QUERIES[name](spark, DATA).count()
+    assert sum(r["count"] for r in seen) == 200 and max(r["count"] for r in seen) < 50
