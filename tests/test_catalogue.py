@@ -67,7 +67,7 @@ def test_texts_stay_where_they_are(spark, name):
     assert met and all("BroadcastHashJoin" in line for line in met)
 
 
-@pytest.mark.parametrize("name", ["source_attribution", "category_boost"])
+@pytest.mark.parametrize("name", ["source_attribution", "category_boost", "rerank_minmax_blend"])
 def test_fused_queries_deal_texts(spark, name, monkeypatch):
     """The documents' only row group is read by one task; all cores count its texts."""
     monkeypatch.setattr(bm25, "DEALT_ROWS", 10, raising=False)
