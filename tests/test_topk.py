@@ -112,6 +112,44 @@ def test_texts_are_counted_once(spark, tmp_path):
     assert bm25.score(made, spark.createDataFrame([(1, "the of"), (2, None)], "q long, text string"), 5).count() == 0
 
 
+def test_a_task_hands_on_a_term_once_for_many_slices(spark, monkeypatch):
+    """A task of three slices gives a row for each of its terms, not for each slice's; the best are those of the postings."""
+    monkeypatch.setattr(bm25, "DEALT_ROWS", 3 * bm25.ROWS)
+    docs = spark.createDataFrame([(i, f"word{i % 7} run") for i in range(2 * bm25.ROWS + 9)], "id long, text string").coalesce(1)
+    seen, persist = [], type(docs).persist
+    monkeypatch.setattr(type(docs), "persist", lambda df, *a: seen.append(df) or persist(df, *a))
+    made = bm25.build(docs, "id", F.col("text"))
+    asked = spark.createDataFrame([(1, "word3 word5"), (2, "word3")], "q long, text string")
+    got, want = bm25.score(made, asked, 20), bm25.score(bm25.Index(made.postings, made.lengths, made.terms), asked, 20)
+    rows = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() == 40
+    handed = seen[0].collect()
+    assert sum(r["block"] is not None for r in handed) >= 3
+    assert sum(r["term"] is not None for r in handed) == 8 and sum(r["df"] for r in handed) == 2 * docs.count()
+
+
+def test_held_terms_are_bounded(monkeypatch):
+    """Terms are handed on when too many are left, a slice of too long ones at once, and their documents add up."""
+    monkeypatch.setattr(bm25, "HELD", 2000)
+    rng = np.random.default_rng(5)
+    held, want, got, most = bm25.Held(), Counter(), Counter(), 0
+    slices = [[f"t{i}" for i in rng.choice(n, m, replace=False)] for n, m in [(20, 15)] * 50 + [(5000, 60)] * 50] + [["x" * 3000, "t1"], [], ["y"]]
+    for terms in slices:
+        df = rng.integers(1, 9, len(terms))
+        want.update(dict(zip(terms, df.tolist(), strict=True)))
+        for own, n in held.add(pa.array(terms, pa.string()), df):
+            assert len(set(own.to_pylist())) == len(own)
+            got.update(dict(zip(own.to_pylist(), n.tolist(), strict=True)))
+            most += 1
+        assert sum(t.nbytes for t in held.terms) <= 2000
+        if len(held.terms) and terms is slices[49]:
+            assert not got  # few terms are summed up and stay
+    for own, n in held.rest():
+        got.update(dict(zip(own.to_pylist(), n.tolist(), strict=True)))
+    assert got == want and 3 < most < 50 and not held.terms
+    assert not list(bm25.Held().rest())
+
+
 def test_lowered_texts_have_the_words_of_cleaned_ones(spark):
     """Every character between two letters, alone and beside one that REPLACED does not judge; and null and empty texts."""
     texts = ["a" + chr(c) + "bé" + more for c in range(0x11000) if not 0xD800 <= c < 0xE000 for more in ("", " Ωx", " “q”")] + ["", None, " \t\n"]
