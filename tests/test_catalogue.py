@@ -75,3 +75,15 @@ def test_fused_queries_deal_texts(spark, name, monkeypatch):
     monkeypatch.setattr(bm25, "_scored", lambda texts, *a: seen.extend(texts.groupBy(F.spark_partition_id()).count().collect()) or scored(texts, *a))
     assert catalogue.QUERIES[name](spark, DATA).count()
     assert sum(r["count"] for r in seen) == 200 and max(r["count"] for r in seen) < 50
+
+
+@pytest.mark.parametrize("name", ["category_boost", "rerank_minmax_blend"])
+def test_fused_queries_hand_on_a_term_once_a_task(spark, name, monkeypatch):
+    """One task counts all texts, in several slices, and gives a row for each term."""
+    monkeypatch.setattr(bm25, "DEALT_ROWS", 1 << 20)
+    frame = type(spark.range(0))
+    seen, persist = [], frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *a: seen.append(df) or persist(df, *a))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.1").count()
+    handed = seen[0].groupBy(F.spark_partition_id(), "term").agg(F.count("*").alias("rows"), F.count("block").alias("blocks")).agg(F.max(F.when(F.col("term").isNotNull(), F.col("rows"))).alias("rows"), F.max("blocks").alias("blocks")).first()
+    assert handed["rows"] == 1 and handed["blocks"] > 2
